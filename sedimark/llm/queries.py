@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .langid import language_id
 from .packing import best_fit_packing
 from .pii import digests, personal_data
+from .quotes import link_quotations
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -29,6 +30,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(personal_data(documents(spark, sf_dir)))
 
@@ -49,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_nearest, op6_personal_data, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_nearest, op5_chat_formatting, op6_personal_data, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
