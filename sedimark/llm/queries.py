@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .packing import best_fit_packing
+from .piece_scan import piece_ids
 from .pii import digests, personal_data
 from .quotes import link_quotations
 from .simhash import near_duplicates
@@ -18,6 +19,10 @@ from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+def op1_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_ids(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -54,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_best_fit_packing, op4_nearest, op5_chat_formatting, op6_personal_data, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_ids, op2_language_id, op3_best_fit_packing, op4_nearest, op5_chat_formatting, op6_personal_data, op7_exact_dedup, op8_token_counts, op9_simhash, op10_toxicity)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
