@@ -9,10 +9,46 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.common import documents, shared_dir
 from sedimark.llm.exact_dedup import exact_dedup
+from sedimark.llm.langid import in_known_languages
 from sedimark.llm.packing import best_fit_packing
-from sedimark.llm.simhash import near_duplicates
+from sedimark.llm.pii import redact
+from sedimark.llm.simhash import surplus_rows
+from sedimark.shipping import ship
 
-STAGES = []
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the numbered rows; a stage's input is a written table, so numbers are the same in every reading."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.join(rows.select(F.col("row").alias("_row")), "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay, and have it as their lang."""
+    return in_known_languages(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return _without(docs, exact_dedup(docs, F.monotonically_increasing_id()).where("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest doc_id stays."""
+    return _without(docs, surplus_rows(docs, F.monotonically_increasing_id()))
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows."""
+    masked = redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of 4096 tokens."""
+    return best_fit_packing(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("personal", personal), ("packing", packing)]
 
 #: No SQL: language profiles, radix classes and fingerprints aren't SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -20,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
+    ship(spark)
     df = documents(spark, sf_dir)
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
     for i, (name, stage) in enumerate(STAGES):

@@ -167,15 +167,18 @@ class Classifier:
 
 
 class _Predict:
-    def __init__(self, ranked: dict[str, list[int]], doc_profile: int):
-        self.ranked, self.doc_profile = ranked, doc_profile
+    """Adds lang_pred, score and distance to the columns, of which ``text`` stays only if it is kept."""
+
+    def __init__(self, ranked: dict[str, list[int]], doc_profile: int, keep: bool):
+        self.ranked, self.doc_profile, self.keep = ranked, doc_profile, keep
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify, alphabet = Classifier(self.ranked, self.doc_profile), _Alphabet()
         for batch in blocks(batches, "text", 2 << 20):
-            best, score, far = classify(batch.column(batch.num_columns - 1).to_pylist(), alphabet)
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(best, pa.string()), pa.array(score), pa.array(far)], [*names, "lang_pred", "score", "distance"])
+            text = batch.schema.get_field_index("text")
+            best, score, far = classify(batch.column(text).to_pylist(), alphabet)
+            own = [i for i in range(batch.num_columns) if self.keep or i != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(best, pa.string()), pa.array(score), pa.array(far)], [*(batch.schema.names[i] for i in own), "_lang_pred", "_score", "_distance"])
 
 
 def held_out(doc_id) -> F.Column:
@@ -193,7 +196,24 @@ def language_id(docs: DataFrame, doc_profile: int = DOC_PROFILE, lang_profile: i
     gives an empty one.  Only doc_id, text and lang are read.  The number of languages is taken to be a few hundred
     at most: profiles (``lang_profile`` n-grams each) go through the driver.
     """
+    ranked = profiles(_labelled(docs), lang_profile, train_rows)
+    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    found = inputs.mapInArrow(_Predict(ranked, doc_profile, False), "doc_id long, held_out boolean, _lang_pred string, _score double, _distance double")
+    return found.toDF("doc_id", "held_out", "lang_pred", "score", "distance")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ranked = profiles(own.where(~held_out(F.col("doc_id"))), lang_profile, train_rows)
-    inputs = own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return inputs.mapInArrow(_Predict(ranked, doc_profile), "doc_id long, held_out boolean, lang_pred string, score double, distance double")
+    return own.where(~held_out(F.col("doc_id")))
+
+
+def in_known_languages(docs: DataFrame, furthest: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, with that as their ``lang``.
+
+    Rejected are ``und`` texts and those further than ``furthest`` of the largest possible distance from every profile.
+    Other columns pass unchanged.
+    """
+    ranked = profiles(_labelled(docs))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_lang_pred string, _score double, _distance double"])
+    found = docs.mapInArrow(_Predict(ranked, DOC_PROFILE, True), schema).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_distance") <= furthest))
+    return found.select(*(F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))

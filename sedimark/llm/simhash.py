@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, cut
@@ -81,13 +81,15 @@ class _Fingerprints:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            found = np.array([fingerprint(t or b"", self.width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t or b"", self.width) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp: the fingerprint's bits as a signed long) of every row; null is the empty text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_Fingerprints(width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = 3, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, fp: the fingerprint's bits as a signed long) of every row; null is the empty text."""
+    row = row if row is not None else F.lit(None)
+    own = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(_Fingerprints(width), "row long, doc_id long, fp long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -197,6 +199,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame, width: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and of each distinct fingerprint its least doc_id and the root of its component."""
+    prints = cut(fingerprints(docs, width, row))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(fingerprint_links(distinct))
+    return prints, cut(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``.
 
@@ -206,11 +216,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Copies meet in one distinct fingerprint before any comparison, by an aggregate that runs on the map side first.
     """
-    prints = cut(fingerprints(docs, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(fingerprint_links(distinct))
-    roots = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = cut(roots)
+    prints, roots = _grouped(docs, width)
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def surplus_rows(docs: DataFrame, row: Column, width: int = 3) -> DataFrame:
+    """(row): all rows but one of each component, that with the smallest doc_id (null ids last, then the smallest row)."""
+    prints, roots = _grouped(docs, width, row)
+    own = prints.join(roots.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place"))
+    first = own.groupBy("root").agg(F.min("place").alias("first"))
+    return own.join(first, "root").where("place.row <> first.row").select("place.row")
