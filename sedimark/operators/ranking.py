@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BODY = F.coalesce(F.col("body"), F.lit(""))
+def body() -> Column:
+    return F.coalesce(F.col("body"), F.lit(""))
 
 
 def top_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -20,8 +21,8 @@ def _ties() -> list[Column]:
 
 def best_definition(functions: DataFrame) -> DataFrame:
     """By name: rows of .c files first, then real bodies that span lines, then with parameters, then the longest body."""
-    real = (F.col("line_end") > F.col("line_start")) & (F.octet_length(BODY) > 50)
-    order = [F.col("file_path").endswith(".c").desc(), real.desc(), (F.col("n_params") > 0).desc(), F.octet_length(BODY).desc(), *_ties()]
+    real = (F.col("line_end") > F.col("line_start")) & (F.octet_length(body()) > 50)
+    order = [F.col("file_path").endswith(".c").desc(), real.desc(), (F.col("n_params") > 0).desc(), F.octet_length(body()).desc(), *_ties()]
     return top_one(functions, ["name"], order)
 
 
@@ -32,17 +33,17 @@ def best_by_extent(functions: DataFrame) -> DataFrame:
 
 def best_overlay(functions: DataFrame) -> DataFrame:
     """By name, among files of the working directory: .c first, then the longest body."""
-    return top_one(functions, ["name"], [F.col("file_path").endswith(".c").desc(), F.octet_length(BODY).desc(), *_ties()])
+    return top_one(functions, ["name"], [F.col("file_path").endswith(".c").desc(), F.octet_length(body()).desc(), *_ties()])
 
 
 def implementations(functions: DataFrame) -> DataFrame:
     """Macros, and functions with more than a declaration for a body."""
-    one_line = (F.col("line_end") - F.col("line_start") <= 1) & F.trim(BODY).endswith(";")
-    return functions.where((F.col("return_type") == "") | ((F.octet_length(BODY) > 50) & ~one_line))
+    one_line = (F.col("line_end") - F.col("line_start") <= 1) & F.trim(body()).endswith(";")
+    return functions.where((F.col("return_type") == "") | ((F.octet_length(body()) > 50) & ~one_line))
 
 
 def is_definition() -> Column:
-    text = F.trim(BODY)
+    text = F.trim(body())
     braces = text.contains("{") & text.contains("}")
     return (
         F.when(text == "", False)
@@ -56,8 +57,8 @@ def is_definition() -> Column:
 
 def dedup_in_file(functions: DataFrame) -> DataFrame:
     """One row per file and name: with body and parameters first, then longer extent, longer body, more parameters."""
-    full = (F.octet_length(BODY) > 0) & (F.col("n_params") > 0)
-    return top_one(functions, ["file_path", "git_file_hash", "name"], [full.desc(), (F.col("line_end") - F.col("line_start")).desc(), F.octet_length(BODY).desc(), F.col("n_params").desc(), F.col("line_start")])
+    full = (F.octet_length(body()) > 0) & (F.col("n_params") > 0)
+    return top_one(functions, ["file_path", "git_file_hash", "name"], [full.desc(), (F.col("line_end") - F.col("line_start")).desc(), F.octet_length(body()).desc(), F.col("n_params").desc(), F.col("line_start")])
 
 
 def dedup_types_in_file(types: DataFrame) -> DataFrame:
