@@ -22,6 +22,10 @@ def _ci(column: Column, pattern: str) -> Column:
     return column.rlike("(?i)" + pattern)
 
 
+def _some(array: str, pattern: str) -> Column:
+    return F.exists(array, lambda s: _ci(s, pattern))
+
+
 def by_author(patterns: list[str]) -> Column:
     return _any([_ci(F.col("author"), p) for p in patterns])
 
@@ -40,12 +44,12 @@ def by_text(patterns: list[str], separately: bool = False) -> Column:
 
 def by_symbol(patterns: list[str]) -> Column:
     """All patterns, each for one symbol at least."""
-    return _all([F.exists("symbols", lambda s, p=p: _ci(s, p)) for p in patterns])
+    return _all([_some("symbols", p) for p in patterns])
 
 
 def by_path(patterns: list[str]) -> Column:
     """Any pattern, for any file."""
-    return _any([F.exists("files", lambda s, p=p: _ci(s, p)) for p in patterns])
+    return _any([_some("files", p) for p in patterns])
 
 
 def filter_commits(commits: DataFrame, author=(), subject=(), text=(), symbol=(), path=(), within: DataFrame | None = None, separately: bool = False) -> DataFrame:

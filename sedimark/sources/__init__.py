@@ -1 +1 @@
-"""Package."""
+"""Sources and sinks: git objects, mail, JSON and mailboxes."""
