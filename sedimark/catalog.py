@@ -41,8 +41,7 @@ class Catalog:
         """A new version; the one before stays for readers that have begun, older ones go."""
         versions = self._versions(table)
         number = int(versions[-1].rsplit("/", 1)[1].split("-")[0]) + 1 if versions else 0
-        columns = self.spark.createDataFrame([], SCHEMAS[table])
-        shaped = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns.schema))
+        shaped = self._shaped(table, df)
         if table == "content":
             shaped = shaped.repartition("shard").sortWithinPartitions("hash")
         shaped.write.parquet(f"{self.root}/{table}/{number:012d}-{uuid.uuid4().hex[:8]}")
@@ -52,10 +51,15 @@ class Catalog:
 
     def merge(self, table: str, new: DataFrame) -> None:
         """Rows of ``new`` take the place of those with their key, or are added."""
-        self.save(table, upsert(self.load(table), new, KEYS[table]))
+        self.save(table, upsert(self.load(table), self._shaped(table, new), KEYS[table]))
 
     def append(self, table: str, new: DataFrame) -> None:
-        self.save(table, self.load(table).unionByName(new))
+        self.save(table, self.load(table).unionByName(self._shaped(table, new)))
+
+    def _shaped(self, table: str, df: DataFrame) -> DataFrame:
+        """The table's columns and types; others are left out."""
+        schema = self.spark.createDataFrame([], SCHEMAS[table]).schema
+        return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
 
     def delete(self, table: str, predicate: Column) -> None:
         self.save(table, delete_where(self.load(table), predicate))

@@ -42,6 +42,15 @@ def symbol(kind: str, name: str) -> str:
     return {"function": f"{name}()", "macro": f"#{name}", "typedef": f"typedef {name}"}.get(kind, f"{kind} {name}")
 
 
+def named(header: str) -> tuple[str, str] | None:
+    """What a hunk's header names: a line of source, or a symbol as ``symbol`` writes it."""
+    if m := re.fullmatch(r"(\w+)\(\)", header):
+        return "function", m[1]
+    if m := re.fullmatch(r"#(\w+)|(struct|union|enum|typedef) (\w+)", header):
+        return ("macro", m[1]) if m[1] else (m[2], m[3])
+    return declaration(header)
+
+
 def walk_back(lines: list[str], at: int) -> tuple[str, str] | None:
     """The declaration that holds line ``at``: the nearest above whose brace opens soon, or that continues to the line."""
     seen = 0
@@ -115,7 +124,7 @@ def changes(hunk: Hunk) -> list[tuple[str | None, set[str]]]:
     """(symbol changed, names called in the changed lines), in order; the header's function only for lines within it."""
     out: dict[str | None, set[str]] = {}
     texts = [t for _, t in hunk.lines]
-    head = declaration(hunk.header) if hunk.header else None
+    head = named(hunk.header) if hunk.header else None
     for i, (mark, text) in enumerate(hunk.lines):
         if mark == " " or not text.strip():
             continue

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, history, similarity  # noqa: F401
+from . import code, extraction, history, ingest, similarity  # noqa: F401
 from .base import ORACLES, QUERIES, run
 
 
