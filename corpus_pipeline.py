@@ -12,7 +12,7 @@ from sedimark.llm.exact_dedup import exact_dedup
 from sedimark.llm.langid import in_known_languages
 from sedimark.llm.packing import best_fit_packing
 from sedimark.llm.pii import redact
-from sedimark.llm.simhash import surplus_rows
+from sedimark.llm.simhash import similar_surplus
 from sedimark.shipping import ship
 
 
@@ -33,8 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id stays."""
-    return _without(docs, surplus_rows(docs, F.monotonically_increasing_id()))
+    """Of each group of texts alike to 0.8 or more by five-word shingles, the row with the smallest doc_id stays."""
+    return _without(docs, similar_surplus(docs, F.monotonically_increasing_id()))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@ expressions are written so that a long run of digits or letters is read once: a
 match can only begin where a run begins, and runs are never given back.
 
 *Bootstrap.*  Tokens that hold a digit or ``@`` are candidates.  A candidate that
-overlaps a base match is a seed.  The word before it, and the word after it, each
-with the candidate's shape, are its lexical patterns.  In rounds, a pattern's
-confidence is the mean confidence of its distinct instances (shrunk by one
-doubtful instance), patterns with too few instances of some confidence count for
-nothing, and an instance that is no seed is as sure as the noisy-or of its
-patterns.  Instances that end above ``accept`` are identifiers, wherever they stand;
+overlaps a base match is a seed.  The words on both sides of it, with the kind of
+token that it is, are its lexical pattern; an instance has as many as it has
+contexts.  In rounds, a pattern's confidence is the mean confidence of its distinct
+instances (shrunk by one doubtful instance), patterns with too few instances of
+some confidence count for nothing, and an instance that is no seed is as sure as
+the noisy-or of its patterns.  Instances that end above ``accept`` are identifiers, wherever they stand;
 their spans are of kind ``context`` and come beside the base ones.
 """
 
@@ -80,18 +80,17 @@ def _overlaps(kind: str) -> str:
     return f"exists({kind}, s -> s.start < c.end AND c.start < s.end)"
 
 
-_SHAPE = "regexp_replace(regexp_replace(lower(value), r'[\\p{L}]+', 'a'), '[0-9]', '9')"
+_SHAPE = "CASE WHEN contains(value, '@') THEN 'address' WHEN value RLIKE r'\\p{L}' THEN 'mixed' ELSE 'number' END"
 _WORD = "regexp_replace(lower({}), '[0-9]', '0')"
 
 
-def discovered(found: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.9) -> tuple[DataFrame, DataFrame]:
+def discovered(found: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(row, start, end, value) of all candidates that no base span overlaps, and the values that are identifiers."""
     seed = " OR ".join(map(_overlaps, KINDS))
     occurrences = found.where("size(candidate) > 0").selectExpr("row", "explode(transform(candidate, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'before', c.before, 'after', c.after, 'seed', " + seed + "))) AS c").select("row", "c.*")
     words = occurrences.select("row", "start", "end", "value", "seed", F.expr(_SHAPE).alias("shape"), F.expr(_WORD.format("regexp_extract(before, r'(?<!\\S)(\\S++)\\s*$', 1)")).alias("left"), F.expr(_WORD.format("regexp_extract(after, r'^\\s*(\\S+)', 1)")).alias("right"))
     words = cut(words)
-    patterns = F.array(F.when(F.col("left") != "", F.concat(F.lit("L "), "left", F.lit(" "), "shape")), F.when(F.col("right") != "", F.concat(F.lit("R "), "right", F.lit(" "), "shape")))
-    edges = words.select("value", "seed", F.explode(F.array_compact(patterns)).alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = words.select("value", "seed", F.concat_ws(" ", "shape", "left", F.lit("_"), "right").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     # A value that is a seed anywhere is one everywhere.
     sure = edges.groupBy("value").agg(F.max("seed").alias("sure"))
     edges = cut(edges.select("pattern", "value").join(sure, "value"))
@@ -104,7 +103,7 @@ def discovered(found: DataFrame, rounds: int = 3, least: int = 3, accept: float
     return words.where(~F.col("seed")).select("row", "start", "end", "value"), values
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.8) -> DataFrame:
     """row, doc_id, and arrays of spans: email, ip, card, phone, context; one row per row of ``docs``.
 
     Null is the empty text.  Rows that repeat stay, null ids too; an empty table gives an empty one.  Only doc_id and

@@ -52,27 +52,53 @@ def _stretches(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield text[start:] if start else text
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Of the ``width``-word shingles of a UTF-8 text with A-Z lower-cased; the words' separators are ASCII white space."""
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The hashes themselves, and further independent bits mixed from them."""
+    out = [hashes]
+    for lane in range(1, lanes):
+        z = hashes + np.uint64(0x9E3779B97F4A7C15 * lane & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(z ^ (z >> np.uint64(31)))
+    return np.stack(out)
+
+
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the ``width``-word shingles of a UTF-8 text with A-Z lower-cased, in blocks; of fewer words the whole."""
     from xxhash import xxh64_intdigest
 
-    counts, total = np.zeros(64, np.int64), 0
     carry: list[bytes] = []
+    some = False
     for part in _stretches(text):
         words = carry + part.lower().split()
         if len(words) >= width:
+            some = True
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
             ends = ends[width - 1 :].tolist()
             for i in range(0, len(starts), SHINGLES):
-                hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES], ends[i : i + SHINGLES])], np.uint64)
-                counts += _bit_counts(hashes)
-                total += len(hashes)
-        carry = words[-(width - 1) :] if width > 1 else []
-    if not total:
-        return xxh64_intdigest(b" ".join(carry), SEED) if carry else 0
-    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
+                yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[i : i + SHINGLES], ends[i : i + SHINGLES])], np.uint64)
+            carry = words[-(width - 1) :] if width > 1 else []
+        else:
+            carry = words
+    if carry and not some:
+        yield np.array([xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+
+
+def sketch(text: bytes, width: int, lanes: int = 1) -> list[int]:
+    """``lanes`` fingerprints of 64 bits; a bit is set where it is in more than half of the shingles' hashes."""
+    counts, total = np.zeros((lanes, 64), np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        for lane, values in enumerate(_lanes(hashes, lanes)):
+            counts[lane] += _bit_counts(values)
+        total += len(hashes)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Of the ``width``-word shingles; the words' separators are ASCII white space, no word gives zero."""
+    return sketch(text, width)[0]
 
 
 class _Fingerprints:
@@ -222,9 +248,135 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def surplus_rows(docs: DataFrame, row: Column, width: int = 3) -> DataFrame:
-    """(row): all rows but one of each component, that with the smallest doc_id (null ids last, then the smallest row)."""
-    prints, roots = _grouped(docs, width, row)
-    own = prints.join(roots.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place"))
-    first = own.groupBy("root").agg(F.min("place").alias("first"))
-    return own.join(first, "root").where("place.row <> first.row").select("place.row")
+#: Candidates of the similarity search: shingles of two words, four fingerprints, at most so many bits of 64 apart.
+CANDIDATE_WIDTH, LANES, CANDIDATE_BITS = 2, 4, 14
+
+
+class _Sketches:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            found = np.array([sketch(t or b"", CANDIDATE_WIDTH, LANES) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(LANES))], ["row", "doc_id", *(f"l{i}" for i in range(LANES))])
+
+
+def _to_anchors_of_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table, many = _flips()
+    for batch in batches:
+        row = batch.column(0).to_numpy(zero_copy_only=False)
+        for lane in range(LANES):
+            fp = batch.column(1 + lane).to_numpy(zero_copy_only=False)
+            for start in range(0, len(fp), 20_000):
+                part, ids = fp[start : start + 20_000], row[start : start + 20_000]
+                for half in range(2):
+                    x = (part.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+                    s = _syndromes(x)
+                    n = many[s]
+                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    anchor = np.repeat(x, n) ^ table[np.repeat(s, n), place] | np.uint64((2 * lane + half) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.repeat(part, n)), pa.array(np.repeat(ids, n)), pa.array(place == 0)], ["anchor", "fp", "row", "home"])
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one anchor, sorted by it; a spanning forest of them where there are many."""
+    held: list[tuple] = []
+
+    def found(anchor: np.ndarray, fp: np.ndarray, row: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        group = np.cumsum(first) - 1
+        size, starts = np.bincount(group), np.flatnonzero(first)
+        use = (size > 1) & (np.bincount(group, home) > 0)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        small = use & (size <= 16)
+        at = np.flatnonzero(small[group])
+        for k in range(1, 16):
+            at = at[at + k < len(fp)]
+            at = at[group[at + k] == group[at]]
+            hit = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= CANDIDATE_BITS]
+            left.append(row[hit])
+            right.append(row[hit + k])
+        for g in np.flatnonzero(use & ~small):
+            rest = np.arange(starts[g], starts[g] + size[g])
+            while len(rest) > 1:
+                frontier, rest = [rest[0]], rest[1:]
+                while frontier and len(rest):
+                    x = frontier.pop()
+                    near = np.bitwise_count(fp[rest] ^ fp[x]) <= CANDIDATE_BITS
+                    new, rest = rest[near], rest[~near]
+                    left.append(np.full(len(new), row[x]))
+                    right.append(row[new])
+                    frontier.extend(new)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)]
+        cut_at = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut_at:
+            held.append(tuple(c[:cut_at] for c in columns))
+            yield found(*map(np.concatenate, zip(*held)))
+            held = []
+        held.append(tuple(c[cut_at:] for c in columns))
+    if held:
+        yield found(*map(np.concatenate, zip(*held)))
+
+
+class _Shingles:
+    """The distinct shingles' hashes of each text, sorted."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t or b"", self.width)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["row", "shingles"])
+
+
+class _Similar:
+    """Whether the shingle sets of a pair overlap enough, as sets."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= self.similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+
+
+def similar_links(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """((row, doc_id), links (a, b) of rows whose sets of ``words``-word shingles have that Jaccard similarity or more).
+
+    Candidates share an anchor in one of eight half-fingerprints (of two-word shingles, which few edits disturb least)
+    and lie within ``CANDIDATE_BITS`` there; every candidate is then compared exactly on whole texts.  Rows with the same
+    fingerprints are compared with the first of them.  The search finds a pair with the probability that one of the
+    eight halves differs by at most a bit; copies of copies have as many chances as there are ways between them.
+    """
+    own = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    lanes = [f"l{i}" for i in range(LANES)]
+    prints = cut(own.mapInArrow(_Sketches(), "row long, doc_id long, " + ", ".join(f"{x} long" for x in lanes)))
+    distinct = prints.groupBy(*lanes).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = cut(distinct)
+    at = distinct.select("first", *lanes).mapInArrow(_to_anchors_of_lanes, "anchor long, fp long, row long, home boolean")
+    pairs = at.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_near_rows, "a long, b long")
+    same = prints.join(distinct.where("copies > 1"), lanes).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = cut(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = cut(own.join(linked, "row", "left_semi").select("row", "text").mapInArrow(_Shingles(words), "row long, shingles array<long>"))
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return prints.select("row", "doc_id"), compared.mapInArrow(_Similar(similarity), "a long, b long")
+
+
+def similar_surplus(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row): all rows but one of each group of similar texts, that with the smallest doc_id (null ids last, then the smallest row)."""
+    rows, links = similar_links(docs, row, words, similarity)
+    members = components(links).join(rows, F.col("node") == F.col("row")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place"))
+    first = members.groupBy("root").agg(F.min("place").alias("first"))
+    return members.join(first, "root").where("place.row <> first.row").select("place.row")

@@ -30,6 +30,8 @@ GRADES = 3
 #: Labelled rows that are fitted on, and features of the model; both bounds.
 SAMPLE_ROWS = 20_000
 FEATURES = 1024
+#: Standard errors from even odds that a feature needs to be kept; others are noise of the sample.
+TELLING = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -146,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
     # The log-odds of a feature in standard errors: the most telling ones, either way.
     odds = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (good - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5) + 1 / (bad - F.col("toxic") + 0.5) + 1 / (good - F.col("clean") + 0.5))
-    top = counted.where(F.col("toxic") + F.col("clean") >= 3).withColumn("z", odds / error).orderBy(F.desc(F.abs("z")), "feature").limit(size).select("feature", "z").collect()
+    top = counted.where(F.col("toxic") + F.col("clean") >= 3).withColumn("z", odds / error).where(F.abs("z") >= TELLING).orderBy(F.desc(F.abs("z")), "feature").limit(size).select("feature", "z").collect()
     index = {r["feature"]: i for i, r in enumerate(top)}
-    telling = np.array([r["z"] for r in top]) > 3
+    telling = np.array([r["z"] for r in top]) > 0
     data = sample.mapInArrow(_Rows(index), "toxic int, words long, at array<int>, n array<int>").collect()
     data.sort(key=lambda r: (r["toxic"], r["words"], r["at"], r["n"]))  # whatever order tasks end in
     row = np.repeat(np.arange(len(data)), [len(r["at"]) for r in data])
