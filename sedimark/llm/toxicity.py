@@ -157,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
     column = np.array([x for r in data for x in r["at"]], np.int64)
     count = np.array([x for r in data for x in r["n"]], float)
     toxic = np.array([r["toxic"] for r in data], bool)
+    if not toxic.any():  # none of the labelled documents is there
+        return Model({}, [20.0 + k for k in range(GRADES)])
     hit = telling[column] if len(column) else np.zeros(0, bool)
     density = np.bincount(row[hit], count[hit], len(data)) / np.maximum([r["words"] for r in data], 1)
     cuts = np.quantile(density[toxic], [k / GRADES for k in range(1, GRADES)])
