@@ -63,3 +63,18 @@ class Catalog:
 
     def delete(self, table: str, predicate: Column) -> None:
         self.save(table, delete_where(self.load(table), predicate))
+
+    def compact(self, table: str, file_bytes: int = 256 << 20) -> None:
+        """The table in files of about ``file_bytes``, sorted within by key, so that statistics of row groups prune lookups."""
+        versions = self._versions(table)
+        if not versions:
+            return
+        path, fs = self._files()
+        size = fs.getContentSummary(path(versions[-1])).getLength()
+        parts = max(1, -(-size // file_bytes))
+        df = self.load(table)
+        self.save(table, df.repartitionByRange(parts, *KEYS[table]).sortWithinPartitions(*KEYS[table]) if table in KEYS else df.repartition(parts))
+
+    def drop(self, table: str) -> None:
+        path, fs = self._files()
+        fs.delete(path(f"{self.root}/{table}"), True)

@@ -130,3 +130,46 @@ def snip(t: Tables) -> DataFrame:
 def headers(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     return t.conversations.select("conv_id", "turn", text.headers(F.col("role"), none, F.lit("<1>"), F.lit("s"), F.lit(""), none).alias("headers"))
+
+
+@query("u06_parameters", "SELECT 'p' || CAST(p_partkey AS VARCHAR) AS name, pos, CASE pos WHEN 0 THEN 's' ELSE 'n' END AS parameter, CASE pos WHEN 0 THEN 'struct part *' ELSE 'unsigned int' END AS type_name FROM {part}, (SELECT unnest([0, 1]) AS pos) k")
+def parameters(t: Tables) -> DataFrame:
+    found = code.extract_sources(_sources(t)).where("kind = 'function'")
+    return found.select("name", F.posexplode("parameters").alias("pos", "p")).select("name", "pos", F.col("p.name").alias("parameter"), F.col("p.type_name").alias("type_name"))
+
+
+@query("u08_walk_back", "SELECT 'src/f' || CAST(p_partkey // 20 AS VARCHAR) || '.c' AS file_path, 'p' || CAST(max(p_partkey) AS VARCHAR) || '()' AS last_symbol, 'struct part' || CAST(p_partkey // 20 AS VARCHAR) AS second_line FROM {part} GROUP BY p_partkey // 20")
+def walk_back(t: Tables) -> DataFrame:
+    def at(lines: list[str], i: int) -> str:
+        found = diffs.walk_back(lines, i)
+        return diffs.symbol(*found) if found else ""
+
+    last = F.pandas_udf(lambda s: s.map(lambda c: at(c.rstrip("}\n").split("\n"), 10**9)), "string")
+    second = F.pandas_udf(lambda s: s.map(lambda c: at(c.split("\n"), 1)), "string")
+    return _sources(t).select("file_path", last("content").alias("last_symbol"), second("content").alias("second_line"))
+
+
+@query("u10_hunks", "SELECT 'src/f' || CAST(p_partkey // 20 AS VARCHAR) || '.c' AS file_path, 0 AS hunk, 'p' || CAST(max(p_partkey) AS VARCHAR) || '()' AS modifies FROM {part} GROUP BY p_partkey // 20")
+def hunks(t: Tables) -> DataFrame:
+    rows = diffs.diff_hunks(_diffs(t).select(F.col("file_path").alias("git_sha"), "diff"))
+    return rows.select("file_path", "hunk", "modifies")
+
+
+@query("o10_json_rows", "SELECT name, file_path, 'int' AS return_type, 2 AS n FROM (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS name, 'src/f' || CAST(p_partkey // 20 AS VARCHAR) || '.c' AS file_path FROM {part}) x")
+def json_rows(t: Tables) -> DataFrame:
+    """The lines that the JSON sink writes, read again."""
+    found = code.functions_of(code.extract_sources(_sources(t))).where("return_type <> ''")
+    line = F.to_json(F.struct(*(c for c in found.columns if c != "body")))
+    back = F.from_json(line, "name string, file_path string, return_type string, parameters array<struct<name:string>>")
+    return found.select(back.alias("j")).select("j.name", "j.file_path", "j.return_type", F.size("j.parameters").alias("n"))
+
+
+@query("s04_date_phrases", "SELECT * FROM (VALUES ('yesterday', '2024-03-30'), ('7 days ago', '2024-03-24'), ('1 month ago', '2024-02-29'), ('2024-11-13', '2024-11-13')) v(phrase, day)")
+def date_phrases(t: Tables) -> DataFrame:
+    from datetime import datetime, timezone
+
+    from ..functions.dates import parse_date
+
+    now = datetime(2024, 3, 31, 12, tzinfo=timezone.utc)
+    phrases = ("yesterday", "7 days ago", "1 month ago", "2024-11-13")
+    return t.spark.createDataFrame([(p, parse_date(p, now).date().isoformat()) for p in phrases], "phrase string, day string")

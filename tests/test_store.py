@@ -88,6 +88,10 @@ def test_catalog(spark, tmp_path):
     assert {r["branch_name"]: r["tip_commit"] for r in store.load("indexed_branches").collect()} == {"main": "c", "it's": "b"}
     store.delete("indexed_branches", F.col("branch_name") == "it's")
     assert store.load("indexed_branches").count() == 1 and store.load("lore").count() == 0
+    store.compact("indexed_branches")
+    assert store.load("indexed_branches").count() == 1
+    store.drop("indexed_branches")
+    assert store.load("indexed_branches").count() == 0
     assert store_path("x") == "x" and store_path(None, "/src") == "/src/.sedimark"
 
 
