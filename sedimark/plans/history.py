@@ -193,7 +193,7 @@ def is_ancestor(t: Tables) -> DataFrame:
 
 @query(
     "o72_merge_base",
-    f"WITH RECURSIVE {_up('a', 14000)}, {_up('b', 14990)}, m AS (SELECT max(n) AS base FROM a WHERE n IN (SELECT n FROM b)) SELECT base, CASE WHEN base = 14000 THEN 'behind' WHEN base = 14990 THEN 'ahead' ELSE 'diverged' END AS state FROM m",
+    f"WITH RECURSIVE {_up('a', 14000)}, {_up('b', 14990)}, m AS (SELECT max(n) AS base FROM a WHERE n IN (SELECT n FROM b)) SELECT base, CASE WHEN base = 14000 THEN 'behind' WHEN base = 14990 THEN 'ahead' ELSE 'diverged' END AS state FROM m WHERE base IS NOT NULL",
 )
 def merge_base(t: Tables) -> DataFrame:
     generation = t.commits.select(F.col("n").alias("git_sha"), F.col("n").alias("generation"))
