@@ -25,6 +25,7 @@ import pickle
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ from .common import blocks, tokenizer_path
 #: Characters of a chunk, and chunks whose matrices are combined at first.
 CHUNK = 1 << 15
 COMBINED = 64
+#: Words, and parts of words, that a worker remembers before it starts afresh.
+MEMO = 600_000
 SPACE = "▁"
 #: A state: (piece, characters beyond the border).  The text's beginning has no piece.
 State = tuple[str, int]
@@ -62,13 +65,18 @@ class Model:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.id))
         self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        # Pieces that end in a string, as far as their length goes: no other length need be tried.
-        self.lengths: dict[str, list[int]] = {}
-        for p in self.id:
-            self.lengths.setdefault(p[-2:], []).append(len(p))
-        self.lengths = {k: sorted(set(v) - {1}, reverse=True) for k, v in self.lengths.items() if len(k) == 2}
+        # Every end of a piece, with the piece's score if it is one: what isn't here ends no piece.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in self.id for i in range(len(p) - 1)}
+        self.ends.update((p, x) for p, x in self.score.items() if len(p) > 1)
+        # The order in which merges are made, and the two parts that each piece is merged from; characters have neither.
+        self.order = {p: i for i, p in enumerate(sorted((p for p in self.id if len(p) > 1), key=lambda p: -self.score[p]))}
+        self.parts: dict[str, tuple[str, str]] = {}
+        for p in self.order:
+            if SPACE * 2 not in p:
+                self.parts[p] = self.last_merge(p)
         self.neighbours: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def ids(self, piece: str) -> list[int]:
         return [self.id[piece]] if piece in self.id else [self.byte[b] for b in piece.encode()]
@@ -86,21 +94,61 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def last_merge(self, piece: str) -> tuple[str, str]:
+        """The two parts that the piece is merged from last, when it is encoded by itself."""
+        parts = list(piece)
+        while len(parts) > 2:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = self.score.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at < 0:
+                return "", ""
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
+
     def gets_on(self, left: str, right: str) -> bool:
         if not left or left[-1] + right[0] not in self.pairs:
             return True
         key = (left, right)
         found = self.neighbours.get(key)
         if found is None:
-            if len(self.neighbours) > 500_000:
+            if len(self.neighbours) > 2 * MEMO:
                 self.neighbours.clear()
-            found = self.neighbours[key] = self.merge(left + right) == [left, right]
+            found = self.neighbours[key] = self.fits(left, right)
         return found
 
+    def fits(self, left: str, right: str) -> bool:
+        """Whether no merge crosses from ``left`` into ``right`` before both are whole.
+
+        Both are taken apart from their facing ends, the later made first; what would merge across at that time, before
+        the part was merged into the next, tells.  Runs of spaces have merges of one score, so these are merged outright.
+        """
+        if SPACE * 2 in left or SPACE * 2 in right or left[-1] == right[0] == SPACE:
+            return self.merge(left + right) == [left, right]
+        order, parts = self.order, self.parts
+        limit = 1 << 40  # merges from here on come too late
+        while True:
+            made = order.get(left + right)
+            if made is not None and made < limit:
+                return False
+            a, b = order.get(left, -1), order.get(right, -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, parts[left][1]
+            else:
+                limit, right = b + 1, parts[right][0]
+
     def ending(self, text: str, end: int) -> list[str]:
         """Pieces of ``text`` that end at ``end``, the longest first; a character that is no piece is one all the same."""
-        found = [text[end - n : end] for n in self.lengths.get(text[end - 2 : end], ()) if n <= end]
-        return [p for p in found if p in self.id] + [text[end - 1]]
+        found, n = [text[end - 1]], 2
+        while n <= end and (piece := text[end - n : end]) in self.ends:
+            if self.ends[piece] is not None:
+                found.append(piece)
+            n += 1
+        return found[::-1]
 
     def reach(self, text: str, state: State, end: int) -> dict[int, tuple[str, float]]:
         """By place up to ``end``: the last piece and the weight of the best path there from ``state`` at place 0.
@@ -109,28 +157,27 @@ class Model:
         aren't looked at once it is found.
         """
         at: dict[int, tuple[str, float]] = {state[1]: (state[0], 0.0)}
-        score, lengths, pairs, neighbours, gets_on = self.score, self.lengths, self.pairs, self.neighbours, self.gets_on
+        score, ends, neighbours, gets_on = self.score, self.ends, self.neighbours, self.gets_on
         start = state[1]
         for e in range(start + 1, end + 1):
-            for n in lengths.get(text[e - 2 : e], ()) if e - start > 1 else ():
-                before = at.get(e - n)
+            found = [text[e - 1]]
+            for b in range(e - 2, start - 1, -1):
+                piece = text[b:e]
+                if piece not in ends:
+                    break
+                if b in at and ends[piece] is not None:
+                    found.append(piece)
+            while found:
+                piece = found.pop()  # the longest first
+                before = at.get(e - len(piece))
                 if before is None:
                     continue
-                piece = text[e - n : e]
-                weight = score.get(piece)
-                if weight is None:
-                    continue
-                left = before[0]
-                fits = neighbours.get((left, piece))
+                fits = neighbours.get((before[0], piece))
                 if fits is None:
-                    fits = not left or left[-1] + piece[0] not in pairs or gets_on(left, piece)
+                    fits = gets_on(before[0], piece)
                 if fits:
-                    at[e] = (piece, before[1] + weight)
-                    break
-            else:
-                before, piece = at.get(e - 1), text[e - 1]
-                if before is not None and gets_on(before[0], piece):
                     at[e] = (piece, before[1] + score.get(piece, -1e6))
+                    break
         return at
 
     @staticmethod
@@ -153,8 +200,6 @@ class Model:
             cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
             if cuts:
                 found = b"".join([self.words.get(part) or self.path(part) for part in map(word.__getitem__, map(slice, [0, *cuts], [*cuts, len(word)]))])
-                if len(word) <= 64:
-                    self.words[word] = found
             else:
                 found = self.path(word)
         return found
@@ -163,7 +208,7 @@ class Model:
         """Ids along the best path through a stretch."""
         found = array("I", [i for piece in self.back(self.reach(part, START, len(part)), 0, len(part)) for i in self.ids(piece)]).tobytes()
         if len(part) <= 64:
-            if len(self.words) > 500_000:
+            if len(self.words) > MEMO:
                 self.words.clear()
             self.words[part] = found
         return found
@@ -171,14 +216,26 @@ class Model:
     def middle(self, text: str) -> bytes:
         """Ids of what lies between two safe places: words with the spaces before them."""
         head, *words = text.split(SPACE)
-        out, run = [self.word(head)] if head else [], 1
-        for i, word in enumerate(words):
-            if word or i == len(words) - 1:
-                out.append(self.word(SPACE * run + word))
-                run = 1
-            else:
-                run += 1
-        return b"".join(out)
+        first = [self.word(head)] if head else []
+        if "" in words:  # a run of spaces belongs to the word that follows
+            out, run = first, 1
+            for i, word in enumerate(words):
+                if word or i == len(words) - 1:
+                    out.append(self.word(SPACE * run + word))
+                    run = 1
+                else:
+                    run += 1
+            return b"".join(out)
+        found = list(map(self.spaced.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    ids = found[i] = self.word(SPACE + words[i])
+                    if len(words[i]) <= 64:
+                        if len(self.spaced) > MEMO:
+                            self.spaced.clear()
+                        self.spaced[words[i]] = ids
+        return b"".join(first + found)
 
     def first_safe(self, text: str, least: int, end: int) -> int:
         return next((i for i in range(max(1, least), end) if self.safe(text, i)), -1)
@@ -187,6 +244,12 @@ class Model:
         return next((i for i in range(end - 1, least - 1, -1) if self.safe(text, i)), -1)
 
 
+@lru_cache(maxsize=1)
+def model_at(path: str) -> Model:
+    """One model a worker process, so that what it remembers serves all of its tasks."""
+    return Model(path)
+
+
 def left_states(model: Model, before: str, text: str) -> list[State]:
     """The states possible at the border of ``before`` and ``text``, as far as the text at hand tells."""
     if not before:
@@ -322,7 +385,7 @@ class _Cut:
         self.path, self.size = path, size
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(self.path)
+        model = model_at(self.path)
         k = model.longest
         for batch in blocks(batches, "text", 4 << 20):
             rows = []
@@ -346,7 +409,7 @@ class _Transfer:
         self.path = path
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(self.path)
+        model = model_at(self.path)
         for batch in batches:
             row, chunk, before, body, after = (batch.column(n).to_pylist() for n in ("row", "chunk", "before", "body", "after"))
             yield _batch([(r, c, zlib.compress(pickle.dumps(transfer(model, x, y, z)))) for r, c, x, y, z in zip(row, chunk, before, body, after)], "row long, chunk int, matrix binary")
@@ -384,7 +447,7 @@ class _Trace:
         self.path = path
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(self.path)
+        model = model_at(self.path)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -403,7 +466,7 @@ class _Whole:
         self.path = path
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(self.path)
+        model = model_at(self.path)
         for batch in blocks(batches, "text", 1 << 20):
             texts = [model.prefix + t.replace(" ", SPACE) if t else "" for t in batch.column(1).to_pylist()]
             ids = [model.middle(t) if t else b"" for t in texts]
