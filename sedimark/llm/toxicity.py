@@ -29,9 +29,9 @@ from .common import blocks
 GRADES = 3
 #: Labelled rows that are fitted on, and features of the model; both bounds.
 SAMPLE_ROWS = 20_000
-FEATURES = 1024
+FEATURES = 4096
 #: Standard errors from even odds that a feature needs to be kept; others are noise of the sample.
-TELLING = 3.0
+TELLING = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
