@@ -252,11 +252,22 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 CANDIDATE_WIDTH, LANES, CANDIDATE_BITS = 2, 4, 14
 
 
+def _words_hash(text: bytes) -> int:
+    """Of the words alone: texts that share it have the same shingles of any width."""
+    from xxhash import xxh64
+
+    h = xxh64(seed=SEED)
+    for part in _stretches(text):
+        if words := part.lower().split():
+            h.update(b" ".join(words) + b" ")
+    return h.intdigest()
+
+
 class _Sketches:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            found = np.array([sketch(t or b"", CANDIDATE_WIDTH, LANES) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(LANES))], ["row", "doc_id", *(f"l{i}" for i in range(LANES))])
+            found = np.array([[*sketch(t or b"", CANDIDATE_WIDTH, LANES), _words_hash(t or b"")] for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(LANES + 1))], ["row", "doc_id", *(f"l{i}" for i in range(LANES)), "words"])
 
 
 def _to_anchors_of_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +288,7 @@ def _to_anchors_of_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one anchor, sorted by it; a spanning forest of them where there are many."""
+    """Pairs of rows (null, a, b) of one anchor, sorted by it.  Where there are many, a spanning forest of them and the rows themselves (anchor, fp, row), since a pair that the forest leaves out may be the only similar one."""
     held: list[tuple] = []
 
     def found(anchor: np.ndarray, fp: np.ndarray, row: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
@@ -305,7 +316,9 @@ def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left.append(np.full(len(new), row[x]))
                     right.append(row[new])
                     frontier.extend(new)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        left, right, many = np.concatenate(left), np.concatenate(right), np.flatnonzero((use & ~small)[group])
+        anchors = pa.concat_arrays([pa.nulls(len(left), pa.int64()), pa.array(anchor[many])])
+        return pa.RecordBatch.from_arrays([anchors, pa.array(np.concatenate([left, fp[many].view(np.int64)])), pa.array(np.concatenate([right, row[many]]))], ["anchor", "a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -321,6 +334,46 @@ def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*map(np.concatenate, zip(*held)))
 
 
+#: Pairs that a worker holds at once.
+PAIRS = 1 << 18
+
+
+def _across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All candidate pairs of one anchor, sorted by it, whose rows aren't in one group yet."""
+    held: list[tuple] = []
+
+    def found(anchor: np.ndarray, fp: np.ndarray, row: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, n = [], [], 0
+        for part in np.split(np.arange(len(anchor)), np.flatnonzero(anchor[1:] != anchor[:-1]) + 1):
+            f, r, g = fp[part], row[part], root[part]
+            if (g == g[0]).all():
+                continue
+            for i in range(len(part) - 1):
+                hit = np.flatnonzero((g[i + 1 :] != g[i]) & (np.bitwise_count(f[i + 1 :] ^ f[i]) <= CANDIDATE_BITS)) + i + 1
+                left.append(np.full(len(hit), r[i]))
+                right.append(r[hit])
+                n += len(hit)
+                if n >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    left, right, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        columns[1] = columns[1].view(np.uint64)
+        cut_at = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut_at:
+            held.append(tuple(c[:cut_at] for c in columns))
+            yield from found(*map(np.concatenate, zip(*held)))
+            held = []
+        held.append(tuple(c[cut_at:] for c in columns))
+    if held:
+        yield from found(*map(np.concatenate, zip(*held)))
+
+
 class _Shingles:
     """The distinct shingles' hashes of each text, sorted."""
 
@@ -354,24 +407,39 @@ def similar_links(docs: DataFrame, row: Column, words: int = 5, similarity: floa
     """((row, doc_id), links (a, b) of rows whose sets of ``words``-word shingles have that Jaccard similarity or more).
 
     Candidates share an anchor in one of eight half-fingerprints (of two-word shingles, which few edits disturb least)
-    and lie within ``CANDIDATE_BITS`` there; every candidate is then compared exactly on whole texts.  Rows with the same
-    fingerprints are compared with the first of them.  The search finds a pair with the probability that one of the
-    eight halves differs by at most a bit; copies of copies have as many chances as there are ways between them.
+    and lie within ``CANDIDATE_BITS`` there; candidates are compared exactly on whole texts.  Of an anchor with many rows
+    a spanning forest of candidates is compared first; then every other candidate pair of it whose rows that hasn't
+    brought into one group.  So of all candidates no link is missing that would join two groups.  Rows of the same words
+    are compared with the first of them.  The search finds a pair with the probability that one of the eight halves
+    differs by at most a bit; copies of copies have as many chances as there are ways between them.
     """
     own = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     lanes = [f"l{i}" for i in range(LANES)]
-    prints = cut(own.mapInArrow(_Sketches(), "row long, doc_id long, " + ", ".join(f"{x} long" for x in lanes)))
-    distinct = prints.groupBy(*lanes).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    prints = cut(own.mapInArrow(_Sketches(), "row long, doc_id long, " + ", ".join(f"{x} long" for x in [*lanes, "words"])))
+    distinct = prints.groupBy(*lanes, "words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     distinct = cut(distinct)
     at = distinct.select("first", *lanes).mapInArrow(_to_anchors_of_lanes, "anchor long, fp long, row long, home boolean")
-    pairs = at.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_near_rows, "a long, b long")
-    same = prints.join(distinct.where("copies > 1"), lanes).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = cut(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = at.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_near_rows, "anchor long, a long, b long")
+    # Of the pairs only the distinct ones are kept; rows of one anchor are so already.
+    found = cut(found.select("anchor", F.when(F.col("anchor").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("anchor").isNull(), F.greatest("a", "b")).otherwise(F.col("b")).alias("b")).distinct())
+    same = prints.join(distinct.where("copies > 1"), [*lanes, "words"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = found.where("anchor IS NULL").select("a", "b").unionByName(same)
+    links = cut(_compared(own, pairs, words, similarity))
+    many = found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("fp"), F.col("b").alias("row"))
+    if many.isEmpty():
+        return prints.select("row", "doc_id"), links
+    grouped = many.join(components(links), F.col("row") == F.col("node"), "left").select("anchor", "fp", "row", F.coalesce("root", "row").alias("root"))
+    others = grouped.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_across_groups, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    others = cut(others.join(pairs, ["a", "b"], "left_anti"))
+    return prints.select("row", "doc_id"), links.unionByName(_compared(own, others, words, similarity))
+
+
+def _compared(own: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): those of the pairs whose texts are similar."""
     linked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     sets = cut(own.join(linked, "row", "left_semi").select("row", "text").mapInArrow(_Shingles(words), "row long, shingles array<long>"))
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return prints.select("row", "doc_id"), compared.mapInArrow(_Similar(similarity), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_Similar(similarity), "a long, b long")
 
 
 def similar_surplus(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -239,6 +239,24 @@ def test_similar_links(spark, crowded):
     assert simhash.similar_surplus(df.limit(0), F.col("doc_id")).count() == 0
 
 
+def test_similar_star(spark):
+    """Copies that are similar to their original alone end in its group, wherever it stands among them."""
+    rng = random.Random(31)
+    original = words(rng, 300).split()
+    rows = []
+    for i in range(301):
+        own = list(original)
+        for j in range(5 if i != 150 else 0):
+            own[rng.randrange(60 * j + 5, 60 * j + 55)] = f"e{i}x{j}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(alike(150, i) for i in sets) and not any(alike(0, i) for i in sets if i not in (0, 150))
+    links = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"))[1].collect()}
+    assert all(alike(a, b) for a, b in links)
+    assert len({a + b - 150 for a, b in links}) >= 0.9 * 300
+
+
 def test_packing(docs, crowded, empty):
     from tokenizers import Tokenizer
 
