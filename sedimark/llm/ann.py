@@ -6,7 +6,8 @@ with the residual's norm and the inner product of the unit residual with its own
 code.  From a code the inner product with a query is estimated without bias, and an
 error bound that holds with high probability tells between which limits it lies.
 
-Search: a query goes to the clusters whose centroids promise most.  Clusters are
+Search: a query goes to the clusters whose centroids promise most, as many as a
+sample of queries needs by brute force to have its neighbours in them.  Clusters are
 cut into blocks of rows and of queries, so that no task holds more than one block
 of each.  In a block, only vectors whose upper limit reaches the query's k-th
 lower limit are compared exactly, in double precision, on the original vectors.
@@ -26,9 +27,12 @@ from .common import cut
 #: Vectors that centroids are fitted on: a bounded sample.
 SAMPLE_ROWS = 16_384
 MAX_CLUSTERS = 1024
-#: Clusters that a query is sent to, and rows that these hold together at least.
+#: Clusters that a query is sent to at least, and rows that these hold together at least.
 PROBES = 24
 LEAST_ROWS = 2_000
+#: Queries that are answered by brute force, and the share of their neighbours that the clusters probed must hold.
+TRIAL_QUERIES = 128
+TRIAL_RECALL = 0.97
 BLOCK = 8_192
 #: Width of the error bound, in standard deviations.
 WIDTH = 3.0
@@ -108,6 +112,47 @@ class _Route:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], ["query_id", "q", "cluster"])
 
 
+class _Trial:
+    """Of a batch of vectors, the ``k`` best of each trial query: query_id, vec_id, score and the place of the vector's cluster among the query's."""
+
+    def __init__(self, c: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int):
+        self.c, self.ids, self.q, self.k = c, ids, q, k
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.argsort(np.argsort(-(self.q @ self.c.T), axis=1, kind="stable"), axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            xid, near = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            score = self.q @ _matrix(batch.column(1), self.c.shape[1]).T
+            score[self.ids[:, None] == xid[None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+            i = np.repeat(np.arange(len(self.ids)), best.shape[1])
+            at = best.ravel()
+            i, at = i[ok := score[i, at] > -np.inf], at[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(xid[at]), pa.array(score[i, at]), pa.array(place[i, near[at]].astype(np.int32))], ["query_id", "vec_id", "score", "place"])
+
+
+def probes_needed(index: DataFrame, queries: DataFrame, c: np.ndarray, k: int) -> int:
+    """Clusters that hold ``TRIAL_RECALL`` of the true neighbours of a sample of queries; one scan of the index."""
+    trial = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TRIAL_QUERIES).collect()
+    if not trial:
+        return 0
+    ids = np.array([r["vec_id"] for r in trial], np.int64)
+    ids, first = np.unique(ids, return_index=True)
+    q = np.array([trial[i]["v"] for i in first], np.float64)
+    best = index.select("vec_id", "v", "cluster").mapInArrow(_Trial(c, ids, q, k), "query_id long, vec_id long, score double, place int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = {r["place"]: r["count"] for r in true.groupBy("place").count().collect()}
+    total, seen = sum(held.values()), 0
+    for place in sorted(held):
+        seen += held[place]
+        if seen >= TRIAL_RECALL * total:
+            return place + 1
+    return 0
+
+
 class _Search:
     def __init__(self, c: np.ndarray, p: np.ndarray, k: int, width: float):
         self.c, self.p, self.k, self.width = c, p, k, width
@@ -153,11 +198,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROB
     Vectors null, zero, of another than the most frequent dimension, or with null or non-finite components take no part,
     nor do rows with a null vec_id.  Rows with a query's own vec_id aren't its candidates; other rows that repeat
     are candidates each for itself.  Ties go to the smaller vec_id.  Fewer candidates give all of them where the clusters
-    probed hold them: clusters are added until they hold ``LEAST_ROWS`` rows.  An empty table gives an empty one.  Only
+    probed hold them: clusters are added until they hold ``LEAST_ROWS`` rows.  At least ``probes`` clusters are probed, and
+    as many more as ``probes_needed`` finds, so the share of the table that is searched follows from the data.  An empty table gives an empty one.  Only
     vec_id and embedding are read.
 
     Broadcast are the centroids (at most 1024) and the rotation; the driver also gets a sample of at most
-    ``sample_rows`` vectors and the clusters' sizes.
+    ``sample_rows`` vectors, the trial queries and the clusters' sizes.
     """
     spark = vectors.sparkSession
     own, dim = usable(vectors)
@@ -171,7 +217,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = PROB
     sizes = np.zeros(len(c), np.int64)
     for r in index.groupBy("cluster").count().collect():
         sizes[r["cluster"]] = r["count"]
-    queries = own.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(_Route(c, sizes, probes, LEAST_ROWS), "query_id long, q array<double>, cluster int")
+    queries = own.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    if probes < len(c):
+        probes = max(probes, probes_needed(index, queries, c, k))
+    queries = queries.mapInArrow(_Route(c, sizes, probes, LEAST_ROWS), "query_id long, q array<double>, cluster int")
     asked = {r["cluster"]: r["count"] for r in queries.select("cluster").groupBy("cluster").count().collect()}
     counts = spark.createDataFrame([(i, -(-int(n) // block), -(-asked.get(i, 0) // block)) for i, n in enumerate(sizes)], "cluster int, row_blocks int, query_blocks int")
     counts = F.broadcast(counts)

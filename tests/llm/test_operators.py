@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,6 +407,25 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_where_clusters_are_skipped(spark, tmp_path):
+    """Vectors without clear clusters: recall holds though not all clusters are searched."""
+    rng = np.random.default_rng(77)
+    x = rng.standard_normal((12, 64))[rng.integers(0, 12, 20_000)] * 0.5 + rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    offsets = pa.array(np.arange(0, 64 * 20_001, 64, dtype=np.int32))
+    pq.write_table(pa.table({"vec_id": np.arange(20_000), "embedding": pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, 20_000, 100):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+
+
 def test_error_bound_covers():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal(64)
