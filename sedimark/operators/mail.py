@@ -120,6 +120,14 @@ def by_date(mails: DataFrame, descending: bool = False) -> DataFrame:
     return mails.orderBy(ts.desc() if descending else ts.asc(), "message_id")
 
 
+def placed_by_date(mails: DataFrame, descending: bool = False) -> DataFrame:
+    """(message_id, date_timestamp, place from 1) of all mails: a place is a row's within its sorted partition after all rows of those before."""
+    parts = cut(by_date(mails.select("message_id", "date_timestamp"), descending)).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    return parts.join(F.broadcast(offsets), "part").select("message_id", "date_timestamp", (F.col("offset") + F.col("within") + 1).alias("place"))
+
+
 def new_shards(have: DataFrame, offered: DataFrame) -> DataFrame:
     """(list_name, shard): shards of each mail archive beyond the newest that is there."""
     newest = have.groupBy("list_name").agg(F.max("shard").alias("newest"))

@@ -270,6 +270,12 @@ def sort_by_date(t: Tables) -> DataFrame:
     return first.select("message_id", F.row_number().over(Window.orderBy(F.desc("date_timestamp"), "message_id")).alias("place"))
 
 
+@query("o63_sort_all_by_date", "SELECT message_id, row_number() OVER (ORDER BY date_timestamp DESC, message_id) AS newest_place, row_number() OVER (ORDER BY date_timestamp, message_id) AS oldest_place FROM {mails}")
+def sort_all_by_date(t: Tables) -> DataFrame:
+    newest, oldest = (mail.placed_by_date(t.mails, down).select("message_id", F.col("place").alias(name)) for down, name in ((True, "newest_place"), (False, "oldest_place")))
+    return newest.join(oldest, "message_id")
+
+
 _ROOTS = "r(message_id, root) AS (SELECT message_id, message_id FROM {mails} m WHERE in_reply_to IS NULL OR in_reply_to NOT IN (SELECT message_id FROM {mails}) UNION ALL SELECT m.message_id, root FROM r JOIN {mails} m ON m.in_reply_to = r.message_id)"
 
 
