@@ -332,6 +332,11 @@ def query_tokens(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("doc_id", text.query_tokens(F.substring("text", 1, 80)).alias("tokens"))
 
 
+@query("s03_query_tokens_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS tokens FROM {documents}")
+def query_tokens_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.query_tokens(F.col("text")).alias("tokens"))
+
+
 @query("s10_hashes", "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM {documents}")
 def hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
