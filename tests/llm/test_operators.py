@@ -410,7 +410,7 @@ def test_nearest(spark):
 def test_nearest_where_clusters_are_skipped(spark, tmp_path):
     """Vectors without clear clusters: recall holds though not all clusters are searched."""
     rng = np.random.default_rng(77)
-    x = rng.standard_normal((12, 64))[rng.integers(0, 12, 20_000)] * 0.5 + rng.standard_normal((20_000, 64))
+    x = rng.standard_normal((12, 64))[rng.integers(0, 12, 20_000)] * 0.1 + rng.standard_normal((20_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     offsets = pa.array(np.arange(0, 64 * 20_001, 64, dtype=np.int32))
     pq.write_table(pa.table({"vec_id": np.arange(20_000), "embedding": pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))}), tmp_path / "v.parquet")
