@@ -13,6 +13,7 @@ not halves.  Of an anchor's links a spanning forest is emitted, never all pairs.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,8 +249,14 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Candidates of the similarity search: shingles of two words, four fingerprints, at most so many bits of 64 apart.
+#: Candidates of the similarity search: distinct shingles of two words, four fingerprints, at most so many bits of 64 apart.
 CANDIDATE_WIDTH, LANES, CANDIDATE_BITS = 2, 4, 14
+#: Rows of one anchor up to which all their candidate pairs are named.
+CROWD = 32
+#: Rows of one anchor that a worker compares at once.
+SLICE = 4096
+#: Rounds in which every row's most promising pair alone is compared, before all that are left.
+ROUNDS = 2
 
 
 def _words_hash(text: bytes) -> int:
@@ -263,10 +270,25 @@ def _words_hash(text: bytes) -> int:
     return h.intdigest()
 
 
+def distinct_shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def set_sketch(text: bytes, width: int, lanes: int) -> list[int]:
+    """As ``sketch``, of the distinct shingles: a passage that is repeated counts once, as it does in a similarity of sets."""
+    hashes = distinct_shingles(text, width)
+    counts = np.zeros((lanes, 64), np.int64)
+    for i in range(0, len(hashes), SHINGLES):
+        for lane, values in enumerate(_lanes(hashes[i : i + SHINGLES], lanes)):
+            counts[lane] += _bit_counts(values)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+
+
 class _Sketches:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            found = np.array([[*sketch(t or b"", CANDIDATE_WIDTH, LANES), _words_hash(t or b"")] for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            found = np.array([[*set_sketch(t or b"", CANDIDATE_WIDTH, LANES), _words_hash(t or b"")] for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(LANES + 1))], ["row", "doc_id", *(f"l{i}" for i in range(LANES)), "words"])
 
 
@@ -284,94 +306,95 @@ def _to_anchors_of_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                     n = many[s]
                     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     anchor = np.repeat(x, n) ^ table[np.repeat(s, n), place] | np.uint64((2 * lane + half) << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.repeat(part, n)), pa.array(np.repeat(ids, n)), pa.array(place == 0)], ["anchor", "fp", "row", "home"])
-
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.repeat(part, n)), pa.array(np.repeat(ids, n))], ["anchor", "fp", "row"])
 
-def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (null, a, b) of one anchor, sorted by it.  Where there are many, a spanning forest of them and the rows themselves (anchor, fp, row), since a pair that the forest leaves out may be the only similar one."""
-    held: list[tuple] = []
-
-    def found(anchor: np.ndarray, fp: np.ndarray, row: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        first = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        group = np.cumsum(first) - 1
-        size, starts = np.bincount(group), np.flatnonzero(first)
-        use = (size > 1) & (np.bincount(group, home) > 0)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        small = use & (size <= 16)
-        at = np.flatnonzero(small[group])
-        for k in range(1, 16):
-            at = at[at + k < len(fp)]
-            at = at[group[at + k] == group[at]]
-            hit = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= CANDIDATE_BITS]
-            left.append(row[hit])
-            right.append(row[hit + k])
-        for g in np.flatnonzero(use & ~small):
-            rest = np.arange(starts[g], starts[g] + size[g])
-            while len(rest) > 1:
-                frontier, rest = [rest[0]], rest[1:]
-                while frontier and len(rest):
-                    x = frontier.pop()
-                    near = np.bitwise_count(fp[rest] ^ fp[x]) <= CANDIDATE_BITS
-                    new, rest = rest[near], rest[~near]
-                    left.append(np.full(len(new), row[x]))
-                    right.append(row[new])
-                    frontier.extend(new)
-        left, right, many = np.concatenate(left), np.concatenate(right), np.flatnonzero((use & ~small)[group])
-        anchors = pa.concat_arrays([pa.nulls(len(left), pa.int64()), pa.array(anchor[many])])
-        return pa.RecordBatch.from_arrays([anchors, pa.array(np.concatenate([left, fp[many].view(np.int64)])), pa.array(np.concatenate([right, row[many]]))], ["anchor", "a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)]
-        cut_at = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut_at:
-            held.append(tuple(c[:cut_at] for c in columns))
-            yield found(*map(np.concatenate, zip(*held)))
-            held = []
-        held.append(tuple(c[cut_at:] for c in columns))
-    if held:
-        yield found(*map(np.concatenate, zip(*held)))
+def _forest(fp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """A spanning forest of candidate pairs (a, b, bits), grown from the row in the middle of all, and that row's place.
 
+    The middle is nearest to what most bits of all rows say: of a document and its copies that is the document.
+    """
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    middle = np.packbits(2 * bits > len(fp), bitorder="little").view(np.uint64)[0]
+    order = np.argsort(np.bitwise_count(fp ^ middle), kind="stable")
+    rest, out = order, []
+    while len(rest) > 1:
+        frontier, rest = deque([rest[0]]), rest[1:]
+        while frontier and len(rest):
+            x = frontier.popleft()
+            apart = np.bitwise_count(fp[rest] ^ fp[x])
+            near = apart <= CANDIDATE_BITS
+            new, rest = rest[near], rest[~near]
+            out.append((np.full(len(new), row[x]), row[new], apart[near].astype(np.int32)))
+            frontier.extend(new)
+    a, b, d = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+    return a, b, d, int(order[0])
 
-#: Pairs that a worker holds at once.
-PAIRS = 1 << 18
 
+class _AtAnchors:
+    """Candidate pairs (null, a, b, bits) of the rows (anchor, fp, row) that stream by, sorted by anchor.
 
-def _across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidate pairs of one anchor, sorted by it, whose rows aren't in one group yet."""
-    held: list[tuple] = []
+    Of up to ``CROWD`` rows of an anchor these are all candidate pairs.  A larger crowd gives spanning forests of its
+    slices and of the slices' middles, and names its rows (anchor, row, null, null).
+    """
 
-    def found(anchor: np.ndarray, fp: np.ndarray, row: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right, n = [], [], 0
-        for part in np.split(np.arange(len(anchor)), np.flatnonzero(anchor[1:] != anchor[:-1]) + 1):
-            f, r, g = fp[part], row[part], root[part]
-            if (g == g[0]).all():
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, middles = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for i in range(len(part) - 1):
-                hit = np.flatnonzero((g[i + 1 :] != g[i]) & (np.bitwise_count(f[i + 1 :] ^ f[i]) <= CANDIDATE_BITS)) + i + 1
-                left.append(np.full(len(hit), r[i]))
-                right.append(r[hit])
-                n += len(hit)
-                if n >= PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                    left, right, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        columns[1] = columns[1].view(np.uint64)
-        cut_at = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut_at:
-            held.append(tuple(c[:cut_at] for c in columns))
-            yield from found(*map(np.concatenate, zip(*held)))
-            held = []
-        held.append(tuple(c[cut_at:] for c in columns))
-    if held:
-        yield from found(*map(np.concatenate, zip(*held)))
+            new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on in the next batch
+            if last:
+                yield from self.closed([c[:last] for c in held], middles)
+                held, middles = [c[last:] for c in held], []
+            while len(held[0]) > SLICE:
+                yield from self.crowd([c[:SLICE] for c in held], middles)
+                held = [c[SLICE:] for c in held]
+        if held is not None:
+            yield from self.closed(held, middles)
+
+    def closed(self, held: list[np.ndarray], middles: list) -> Iterator[pa.RecordBatch]:
+        """Whole anchors, of the first of which slices may have gone before."""
+        if middles:
+            n = int(np.searchsorted(held[0], held[0][0], "right"))
+            yield from self.crowd([c[:n] for c in held], middles)
+            fps, rows = np.array([m[0] for m in middles], np.uint64), np.array([m[1] for m in middles], np.int64)
+            for i in range(0, len(fps), SLICE):
+                yield self.pairs(*_forest(fps[max(0, i - 1) : i + SLICE], rows[max(0, i - 1) : i + SLICE])[:3])
+            held = [c[n:] for c in held]
+        anchor, fp, row = held
+        if not len(anchor):
+            return
+        first = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        size = np.bincount(group)
+        out = []
+        at = np.flatnonzero((size <= CROWD)[group])
+        for k in range(1, CROWD):
+            at = at[at + k < len(fp)]
+            at = at[group[at + k] == group[at]]
+            if not len(at):
+                break
+            apart = np.bitwise_count(fp[at] ^ fp[at + k])
+            near = apart <= CANDIDATE_BITS
+            out.append((row[at[near]], row[at[near] + k], apart[near].astype(np.int32)))
+        if out:
+            yield self.pairs(*map(np.concatenate, zip(*out)))
+        for g in np.flatnonzero(size > CROWD):
+            yield from self.crowd([c[starts[g] : starts[g] + size[g]] for c in held], [])
+
+    def crowd(self, part: list[np.ndarray], middles: list) -> Iterator[pa.RecordBatch]:
+        anchor, fp, row = part
+        a, b, d, middle = _forest(fp, row)
+        middles.append((fp[middle], row[middle]))
+        yield self.pairs(a, b, d)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(row), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32())], ["anchor", "a", "b", "bits"])
+
+    @staticmethod
+    def pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["anchor", "a", "b", "bits"])
 
 
 class _Shingles:
@@ -382,7 +405,7 @@ class _Shingles:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t or b"", self.width)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [distinct_shingles(t or b"", self.width).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["row", "shingles"])
 
@@ -398,48 +421,88 @@ class _Similar:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= self.similarity * max(len(x), len(y)) else -1
                 good.append(both >= self.similarity * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
 
+def _joining(pairs: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``links`` and those of ``pairs`` (a, b, bits) that are similar, but for pairs whose rows are in one group without them.
+
+    First each row's most promising pair is compared alone: what that joins needs no further comparison.  So the
+    comparisons of a crowd of copies are as many as its rows, and only pairs that stay apart are compared one and all.
+    """
+    both = lambda df: df.select(F.col("a").alias("row"), F.struct("bits", "a", "b").alias("pair")).unionByName(df.select(F.col("b").alias("row"), F.struct("bits", "a", "b").alias("pair")))
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    pairs = cut(pairs)
+    for turn in range(ROUNDS + 1):
+        if pairs.isEmpty():
+            break
+        chosen = pairs.select("a", "b") if turn == ROUNDS else cut(both(pairs).groupBy("row").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+        found = chosen.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_Similar(similarity), "a long, b long")
+        links = cut(links.unionByName(found))
+        if turn == ROUNDS or (rest := cut(pairs.join(chosen, ["a", "b"], "left_anti"))).isEmpty():
+            break
+        roots = cut(components(links))
+        at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
+        apart = rest.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        pairs = cut(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bits"))
+    return links
+
+
+def _crowded_pairs(crowds: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b, bits): of the crowds (anchor, row) that links leave in several groups, all pairs that can be similar.
+
+    An exact prefix filter: with shingles from the rarest to the most common, similar sets share one of their first
+    few, and what is left behind the first shared one must be enough.  None where no crowd is left apart.
+    """
+    grouped = crowds.join(components(links), F.col("row") == F.col("node"), "left").select("anchor", "row", F.coalesce("root", "row").alias("root"))
+    split = grouped.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("anchor")
+    rows = cut(grouped.join(split, "anchor", "left_semi").select("row", "root").distinct())
+    if rows.isEmpty():
+        return None
+    shingles = rows.join(sets, "row").select("row", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    least = similarity / (1 + similarity)
+    ordered = shingles.join(common, "s").groupBy("row", "root", "n").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("all"))  # one document's shingles
+    first = ordered.select("row", "root", "n", F.posexplode(F.expr(f"slice(all, 1, n - int(ceil({similarity} * n - 1e-6)) + 1)")).alias("i", "t")).where("t.k > 1").select("row", "root", "n", "i", "t.s")
+    first = cut(first)
+    short = first.where(f"n - i >= {2 * least} * n - 1e-6")
+    x, y = (df.toDF(f"row_{e}", f"root_{e}", f"n_{e}", f"i_{e}", "s") for e, df in (("x", short), ("y", first)))
+    fits = f"root_x <> root_y AND (n_x < n_y OR n_x = n_y AND row_x < row_y) AND n_x >= {similarity} * n_y - 1e-6 AND least(n_x - i_x, n_y - i_y) >= {least} * (n_x + n_y) - 1e-6"
+    return x.join(y, "s").where(fits).select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b"), F.lit(0).alias("bits")).distinct()
+
+
 def similar_links(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """((row, doc_id), links (a, b) of rows whose sets of ``words``-word shingles have that Jaccard similarity or more).
-
-    Candidates share an anchor in one of eight half-fingerprints (of two-word shingles, which few edits disturb least)
-    and lie within ``CANDIDATE_BITS`` there; candidates are compared exactly on whole texts.  Of an anchor with many rows
-    a spanning forest of candidates is compared first; then every other candidate pair of it whose rows that hasn't
-    brought into one group.  So of all candidates no link is missing that would join two groups.  Rows of the same words
-    are compared with the first of them.  The search finds a pair with the probability that one of the eight halves
-    differs by at most a bit; copies of copies have as many chances as there are ways between them.
+    """((row, doc_id), links (a, b) that group all rows whose sets of ``words``-word shingles have that Jaccard similarity or more).
+
+    Candidates share an anchor in one of eight half-fingerprints and lie within ``CANDIDATE_BITS`` there; they are compared
+    exactly, on whole texts.  Both rows of a pair go to all anchors within two bits, so halves up to two bits apart are
+    sure to meet (the bit between them has its own anchor within one), and one in six of those three or four bits apart do.
+    Fingerprints are of the distinct two-word shingles, which few edits disturb least.  Where an anchor is crowded,
+    ``_crowded_pairs`` finds whatever pairs spanning forests leave out, exactly; so among candidates no link is missing
+    that would join two groups.
+
+    ``row`` must number the rows alike in every reading of ``docs``, and be unique.  Rows of the same words (hash and all
+    fingerprints alike) are linked as they are.  Null and empty texts have no shingles; they are alike, and like
+    nothing else.  Texts of fewer words than a shingle are one shingle.  Only doc_id and text are read, whatever else there is;
+    doc_id may be null or repeated.  An empty table has no links.
     """
     own = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     lanes = [f"l{i}" for i in range(LANES)]
     prints = cut(own.mapInArrow(_Sketches(), "row long, doc_id long, " + ", ".join(f"{x} long" for x in [*lanes, "words"])))
-    distinct = prints.groupBy(*lanes, "words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut(distinct)
-    at = distinct.select("first", *lanes).mapInArrow(_to_anchors_of_lanes, "anchor long, fp long, row long, home boolean")
-    found = at.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_near_rows, "anchor long, a long, b long")
-    # Of the pairs only the distinct ones are kept; rows of one anchor are so already.
-    found = cut(found.select("anchor", F.when(F.col("anchor").isNull(), F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("anchor").isNull(), F.greatest("a", "b")).otherwise(F.col("b")).alias("b")).distinct())
-    same = prints.join(distinct.where("copies > 1"), [*lanes, "words"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = found.where("anchor IS NULL").select("a", "b").unionByName(same)
-    links = cut(_compared(own, pairs, words, similarity))
-    many = found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("fp"), F.col("b").alias("row"))
-    if many.isEmpty():
-        return prints.select("row", "doc_id"), links
-    grouped = many.join(components(links), F.col("row") == F.col("node"), "left").select("anchor", "fp", "row", F.coalesce("root", "row").alias("root"))
-    others = grouped.repartition("anchor").sortWithinPartitions("anchor", "row").mapInArrow(_across_groups, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    others = cut(others.join(pairs, ["a", "b"], "left_anti"))
-    return prints.select("row", "doc_id"), links.unionByName(_compared(own, others, words, similarity))
-
-
-def _compared(own: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): those of the pairs whose texts are similar."""
-    linked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = cut(own.join(linked, "row", "left_semi").select("row", "text").mapInArrow(_Shingles(words), "row long, shingles array<long>"))
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_Similar(similarity), "a long, b long")
+    distinct = cut(prints.groupBy(*lanes, "words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")))
+    at = distinct.select("first", *lanes).mapInArrow(_to_anchors_of_lanes, "anchor long, fp long, row long")
+    found = at.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_AtAnchors(), "anchor long, a long, b long, bits int")
+    found = cut(found.groupBy("anchor", "a", "b").agg(F.min("bits").alias("bits")))
+    links = cut(prints.join(distinct.where("copies > 1"), [*lanes, "words"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")))
+    pairs, crowds = found.where("anchor IS NULL").select("a", "b", "bits"), found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("row"))
+    needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(crowds.select("row")).distinct()
+    sets = cut(own.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_Shingles(words), "row long, shingles array<long>"))
+    links = _joining(pairs, sets, links, similarity)
+    if not crowds.isEmpty() and (others := _crowded_pairs(crowds, sets, links, similarity)) is not None:
+        links = _joining(others, sets, links, similarity)
+    return prints.select("row", "doc_id"), links
 
 
 def similar_surplus(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> DataFrame:

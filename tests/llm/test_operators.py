@@ -234,7 +234,7 @@ def test_similar_links(spark, crowded):
     links = {(r.a, r.b) for r in simhash.similar_links(df, F.col("doc_id"))[1].collect()}
     assert all(alike(a, b) for a, b in links)
     wanted = {(2 * i, 2 * i + 1) for i in range(150) if alike(2 * i, 2 * i + 1)}
-    assert len(wanted) > 100 and len(links & wanted) >= 0.85 * len(wanted)
+    assert len(wanted) > 100 and len(links & wanted) >= 0.97 * len(wanted)
     assert {r.row for r in simhash.similar_surplus(df, F.col("doc_id")).collect()} == {b for _, b in links}
     odd = simhash.similar_surplus(crowded, F.monotonically_increasing_id())
     assert odd.select("row").distinct().count() == odd.count() < crowded.count()
@@ -259,6 +259,94 @@ def test_similar_star(spark):
     assert len({a + b - 150 for a, b in links}) >= 0.9 * 300
 
 
+def groups_of(pairs, nodes):
+    parent = {i: i for i in nodes}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    out = defaultdict(set)
+    for i in nodes:
+        out[find(i)].add(i)
+    return sorted(sorted(g) for g in out.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("boilerplate", ["the same phrase " * 300, " ".join(f"line{i} of the notice" for i in range(40))])
+def test_similar_families_in_one_crowd(spark, boilerplate):
+    """Families of near copies behind one long common head: their fingerprints crowd the same anchors; all groups are found."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(30):
+        own = words(rng, 60 if "line0" in boilerplate else 150).split()
+        for k in range(3):
+            edited = list(own)
+            edited[7 * k] = f"x{family}x{k}"
+            rows.append((3 * family + k, boilerplate + " " + " ".join(edited)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    wanted = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(wanted) >= 60
+    links = [(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"))[1].collect()]
+    assert set(links) <= {(min(p), max(p)) for p in wanted} and groups_of(links, sets) == groups_of(wanted, sets)
+
+
+def test_similar_crowd_in_slices(spark, monkeypatch):
+    """A crowd of more rows than a worker compares at once: chains, stars and strangers of one template, by brute force."""
+    rng = random.Random(6)
+    head, rows = words(rng, 150).split(), []
+    for i in range(240):
+        own = list(head)
+        for j in range(rng.choice([1, 3, 6])):
+            own[rng.randrange(len(own))] = f"slot{i % 40}x{j}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(simhash, "SLICE", 50)
+    sets = {i: shingle_set(t) for i, t in rows}
+    wanted = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"))[1].collect()]
+    assert groups_of(links, sets) == groups_of(wanted, sets)
+
+
+def test_crowded_pairs_are_complete(spark):
+    """The prefix filter loses no pair at the threshold."""
+    rng = random.Random(14)
+    pool = list(range(1000, 1200))
+    own = {i: sorted(rng.sample(pool, rng.choice([8, 20, 21, 25]))) for i in range(40)}
+    for i in range(40, 120):
+        like = set(own[rng.randrange(40)])
+        for _ in range(rng.randint(0, 3)):
+            like.discard(rng.choice(sorted(like)))
+            like.add(rng.choice(pool))
+        own[i] = sorted(like)
+    sets = spark.createDataFrame(list(own.items()), "row long, shingles array<long>")
+    crowds = spark.createDataFrame([(7, i) for i in own], "anchor long, row long")
+    none = spark.createDataFrame([], "a long, b long")
+    found = {(r.a, r.b) for r in simhash._crowded_pairs(crowds, sets, none, 0.8).collect()}
+    wanted = {(a, b) for b in own for a in range(b) if 10 * len(set(own[a]) & set(own[b])) >= 8 * len(set(own[a]) | set(own[b]))}
+    assert len(wanted) > 50 and wanted <= found and len(found) < 120 * 119 / 4
+
+
+def test_similar_recall_on_documents(spark):
+    """All pairs of the sf0.01 documents by brute force over shared rare shingles; groups must be the same but for one in ten."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(lowered(r.text), r.doc_id)
+    sets = {i: shingle_set(t.decode()) for t, i in texts.items()}
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            holders[x].append(i)
+    seen = {(a, b) for l in holders.values() for a in l for b in l if a < b}
+    wanted = [(a, b) for a, b in seen if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(r.a, r.b) for r in simhash.similar_links(docs.where(F.col("doc_id").isin(list(sets))), F.col("doc_id"))[1].collect()]
+    assert set(links) <= set(wanted)
+    of = {i: k for k, g in enumerate(groups_of(links, sets)) for i in g}
+    assert sum(a in of and of.get(a) == of.get(b) for a, b in wanted) >= 0.9 * len(wanted)
+
+
 def test_packing(docs, crowded, empty):
     from tokenizers import Tokenizer
 
