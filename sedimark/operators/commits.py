@@ -76,30 +76,65 @@ def tag_map(messages: DataFrame, key: str = "git_sha") -> DataFrame:
     return messages.select(key, pairs.alias("p")).select(key, tags.alias("tags"))
 
 
-def ancestors(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    """(git_sha): the starts and whatever their parent edges (child, parent; acyclic) lead to.
+def chains(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parent edges (child, parent; acyclic) as chains and the edges between them.
 
-    Hops double: after k rounds all ancestors nearer than 2**k edges are reached, so a history a million commits deep
-    takes some twenty rounds.  Each round is materialised in the shared folder.
+    Of a commit's parents one, and of a parent's children one, go on in the same chain.  First: (git_sha, chain, height),
+    a chain named after its oldest commit, height counted from there.  Second: (chain, height, to_chain, to_height) of
+    all edges that leave a chain.  Heights come by doubling, so a chain a million commits long takes some twenty rounds;
+    every round holds one row a commit.
     """
-    reached = cut(starts.select("git_sha").distinct())
-    hops = cut(parents.select("child", "parent").where("parent IS NOT NULL").distinct())
-    while not hops.isEmpty():
-        step = hops.join(reached, hops["child"] == reached["git_sha"]).select(F.col("parent").alias("git_sha"))
-        reached = cut(reached.unionByName(step).distinct())
-        far = hops.select(F.col("child").alias("middle"), F.col("parent").alias("end"))
-        hops = cut(hops.join(far, F.col("parent") == F.col("middle")).select("child", F.col("end").alias("parent")).distinct())
-    return reached
+    edges = cut(parents.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    onward = edges.groupBy("child").agg(F.min("parent").alias("parent")).groupBy("parent").agg(F.min("child").alias("child"))
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
+    at = cut(nodes.join(onward, F.col("node") == F.col("child"), "left").select("node", F.coalesce("parent", "node").alias("end"), F.col("parent").isNotNull().cast("long").alias("height")))
+    before = None
+    while True:
+        total, highest, many = at.agg(F.sum("height"), F.max("height"), F.count(F.lit(1))).head()
+        if total == before or not many:
+            break
+        if highest >= many:
+            raise ValueError("the parent edges have a cycle")
+        before = total
+        far = at.select(F.col("node").alias("middle"), F.col("end").alias("far"), F.col("height").alias("more"))
+        at = cut(at.join(far, F.col("end") == F.col("middle")).select("node", F.col("far").alias("end"), (F.col("height") + F.col("more")).alias("height")))
+    at = at.select(F.col("node").alias("git_sha"), F.col("end").alias("chain"), "height")
+    child, parent = at.toDF("child", "chain", "height"), at.toDF("parent", "to_chain", "to_height")
+    crossing = edges.join(child, "child").join(parent, "parent").where("chain <> to_chain").groupBy("chain", "height", "to_chain").agg(F.max("to_height").alias("to_height"))
+    return at, cut(crossing)
+
+
+def ancestors(parents: DataFrame, starts: DataFrame, built: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(git_sha): the starts and whatever their parent edges lead to.
+
+    The walk goes over ``chains``: whoever reaches a commit reaches all below it in its chain, so what is kept is the
+    highest commit reached of each chain.  A round follows the edges out of what was newly reached, once each; the rounds
+    are as many as changes of chain on the way, not as the history is deep.
+    """
+    at, crossing = built or chains(parents)
+    starts = starts.select("git_sha").distinct()
+    reached = cut(at.join(starts, "git_sha", "left_semi").groupBy("chain").agg(F.max("height").alias("top")).withColumn("done", F.lit(-1).cast("long")))
+    while True:
+        # done: up to where the edges out of the chain have been followed before.
+        new = reached.where("top > done").select("chain", "top", "done")
+        found = crossing.join(new, "chain").where("height <= top AND height > done").select(F.col("to_chain").alias("chain"), F.col("to_height").alias("top"))
+        state = reached.select("chain", "top", F.col("top").alias("done")).unionByName(found.withColumn("done", F.lit(-1).cast("long")))
+        reached = cut(state.groupBy("chain").agg(F.max("top").alias("top"), F.max("done").alias("done")))
+        if reached.where("top > done").isEmpty():
+            break
+    return at.join(reached, "chain").where("height <= top").select("git_sha").union(starts).distinct()
 
 
 def commit_range(parents: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Reachable from ``new`` and not from ``old``."""
-    return ancestors(parents, new).join(ancestors(parents, old), "git_sha", "left_anti")
+    built = chains(parents)
+    return ancestors(parents, new, built).join(ancestors(parents, old, built), "git_sha", "left_anti")
 
 
 def merge_base(parents: DataFrame, generation: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(git_sha, generation): of the common ancestors the one that is latest by ``generation`` (git_sha, generation)."""
-    common = ancestors(parents, a).join(ancestors(parents, b), "git_sha", "left_semi")
+    built = chains(parents)
+    common = ancestors(parents, a, built).join(ancestors(parents, b, built), "git_sha", "left_semi")
     return common.join(generation, "git_sha").orderBy(F.desc("generation"), "git_sha").limit(1)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions.text import tokens
+from .storage import placed
 
 FIELDS = ("from", "subject", "body", "recipients", "symbols")
 
@@ -91,22 +92,48 @@ def replies(mails: DataFrame, starts: DataFrame, include_starts: bool = True) ->
     return seen if include_starts else seen.where("depth > 0")
 
 
+def cycle_roots(inside: DataFrame) -> DataFrame:
+    """(message_id): the earliest mail of each circle of replies, of (child, up, part), all of which lead into circles.
+
+    By doubling: after as many steps as there are mails everyone stands on a circle, and the least part met from there on
+    the way round is the circle's first.
+    """
+    n = inside.count()
+    at = cut(inside.groupBy("child").agg(F.min(F.struct("part", "up")).alias("x")).select("child", F.col("x.up").alias("to"), F.struct("x.part", F.col("child").alias("id")).alias("least")))
+    for _ in range(max(1, n).bit_length() + 1):
+        far = at.select(F.col("child").alias("middle"), F.col("to").alias("far"), F.col("least").alias("further"))
+        at = cut(at.join(far, F.col("to") == F.col("middle")).select("child", F.col("far").alias("to"), F.least("least", "further").alias("least")))
+    on = at.select(F.col("to").alias("child")).distinct()
+    return at.join(on, "child", "left_semi").select(F.col("least.id").alias("message_id")).distinct()
+
+
 def threads(mails: DataFrame) -> DataFrame:
     """(message_id, root, path): each mail's root and its way down, which sorts a thread in depth-first order.
 
+    A root has no parent here, or is the earliest mail of a circle of replies, whose own reply then counts for nothing.
     Siblings are in the order of their time, not of their date's text.  A path holds one fixed-width part a reply.
     """
     part = F.concat(F.lpad(F.coalesce("date_timestamp", F.lit(0)).cast("string"), 12, "0"), F.lit(" "), F.col("message_id"))
-    own = mails.select("message_id", "in_reply_to", part.alias("part"))
+    own = cut(mails.select("message_id", "in_reply_to", part.alias("part")))
     known = own.select(F.col("message_id").alias("in_reply_to")).distinct()
     inside = own.join(known, "in_reply_to", "left_semi").where("in_reply_to <> message_id")
     level = cut(own.join(inside.select("message_id"), "message_id", "left_anti").select("message_id", F.col("message_id").alias("root"), F.array("part").alias("path")))
     inside = cut(inside.select(F.col("message_id").alias("child"), F.col("in_reply_to").alias("up"), "part"))
-    out = level
-    while not level.isEmpty():
-        level = cut(inside.join(level, F.col("up") == F.col("message_id")).select(F.col("child").alias("message_id"), "root", F.array_append("path", F.col("part")).alias("path")))
-        out = out.unionByName(level)
-    return out
+
+    def down(level: DataFrame, inside: DataFrame) -> DataFrame:
+        out = level
+        while not level.isEmpty():
+            level = cut(inside.join(level, F.col("up") == F.col("message_id")).select(F.col("child").alias("message_id"), "root", F.array_append("path", F.col("part")).alias("path")))
+            out = out.unionByName(level)
+        return out
+
+    out = down(level, inside)
+    left = cut(inside.join(out.select(F.col("message_id").alias("child")), "child", "left_anti"))
+    if left.isEmpty():
+        return out
+    roots = cut(cycle_roots(left))
+    first = own.join(roots, "message_id", "left_semi").select("message_id", F.col("message_id").alias("root"), F.array("part").alias("path"))
+    return out.unionByName(down(cut(first), cut(left.join(roots.withColumnRenamed("message_id", "child"), "child", "left_anti"))))
 
 
 def thread_order(mails: DataFrame) -> DataFrame:
@@ -121,11 +148,9 @@ def by_date(mails: DataFrame, descending: bool = False) -> DataFrame:
 
 
 def placed_by_date(mails: DataFrame, descending: bool = False) -> DataFrame:
-    """(message_id, date_timestamp, place from 1) of all mails: a place is a row's within its sorted partition after all rows of those before."""
-    parts = cut(by_date(mails.select("message_id", "date_timestamp"), descending)).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    return parts.join(F.broadcast(offsets), "part").select("message_id", "date_timestamp", (F.col("offset") + F.col("within") + 1).alias("place"))
+    """(message_id, date_timestamp, place from 1) of all mails."""
+    ts = F.col("date_timestamp")
+    return placed(mails.select("message_id", "date_timestamp"), [ts.desc() if descending else ts.asc(), F.col("message_id")])
 
 
 def new_shards(have: DataFrame, offered: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 #: Bytes of a body that are stored.
 MAX_BODY = 10 << 20
 
@@ -17,9 +19,16 @@ def shard_of(hash_: Column) -> Column:
     return F.when(first.rlike("^[0-9a-f]$"), F.conv(first, 16, 10).cast("int")).otherwise(0)
 
 
-def content_store(texts: DataFrame, column: str) -> DataFrame:
-    """(hash, content, shard): each distinct non-empty text once.  The hash decides, so only hashes are shuffled twice."""
-    text = F.substring(F.col(column), 1, MAX_BODY)
+def content_store(texts: DataFrame, column: str, most: int | None = MAX_BODY) -> DataFrame:
+    """(hash, content, shard): each distinct non-empty text once.  The hash decides, so only hashes are shuffled twice.
+
+    Of texts beyond ``most`` bytes the beginning is stored and hashed, as whole characters; None stores all of every text.
+    """
+    text = F.col(column)
+    if most is not None:
+        # An incomplete last character has up to three bytes.
+        head = lambda n: F.try_validate_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
+        text = F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*(head(most - i) for i in range(4))))
     own = texts.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.sha1(text.cast("binary")).alias("hash"), text.alias("content"))
     return own.groupBy("hash").agg(F.first("content").alias("content")).select("hash", "content", shard_of(F.col("hash")).alias("shard"))
 
@@ -29,10 +38,15 @@ def resolve_content(rows: DataFrame, content: DataFrame, key: str) -> DataFrame:
     return rows.join(content.select(F.col("hash").alias("_hash"), F.col("content").alias("body")), F.col(key) == F.col("_hash"), "left").drop("_hash").withColumn("body", F.coalesce("body", F.lit("")))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` in the place of those of ``old`` with the same key, or added; one row a key."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` in the place of those of ``old`` with the same key, or added; one row a key.
+
+    Of several new rows with one key the last by ``order`` wins, and of those that are equal in it the greatest as JSON, so
+    that a run that is repeated gives the same.
+    """
     same = reduce(lambda a, b: a & b, (F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys))
-    fresh = new.dropDuplicates(keys)
+    last = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order or []), F.desc("_all"))
+    fresh = new.withColumn("_all", F.to_json(F.struct(*new.columns))).withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_all", "_place")
     return old.alias("o").join(fresh.alias("n"), same, "left_anti").unionByName(fresh)
 
 
@@ -81,11 +95,33 @@ def shard_statistics(content: DataFrame) -> DataFrame:
     return content.groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.sum(size).alias("bytes"), F.avg(size).alias("mean_bytes"))
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with its place (from 1) in a total order: a row's place in its sorted partition after all rows of those before."""
+    parts = cut(df.orderBy(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    return parts.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_offset") + F.col("_within") + 1).alias("place"))
+
+
+#: Rows that a page may have the driver hold.
+NEAR = 10_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows by offset; a stable order is the caller's."""
+    """Page ``number`` (from 1) of ``size`` rows; a total order is the caller's.
+
+    The driver holds all rows up to a page's end only while they are few; pages further on are cut out by ``placed``.
+    """
     if number < 1:
         raise ValueError("pages count from 1")
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    if number * size <= NEAR:
+        return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return placed(df, order).where(F.col("place").between((number - 1) * size + 1, number * size)).drop("place")
+
+
+def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The ``size`` rows that follow ``last`` by a unique key (None: the first ones); the filter prunes the scan."""
+    return (df if last is None else df.where(F.col(key) > last)).orderBy(key).limit(size)
 
 
 def paged_lines(text: DataFrame, size: int = 50) -> DataFrame:

@@ -33,6 +33,7 @@ DERIVED: dict[str, str] = {
     "commit_files": "SELECT sha1(CAST(l_orderkey AS STRING)) AS git_sha, 'dir' || CAST(l_suppkey % 10 AS STRING) || '/f' || CAST(l_partkey AS STRING) || '.c' AS file FROM {lineitem}",
     "parents": "SELECT child, parent FROM (SELECT o_orderkey AS child, CAST(floor(o_orderkey / 2) AS BIGINT) AS parent FROM {orders} WHERE o_orderkey >= 1 UNION ALL SELECT o_orderkey, o_orderkey - 1 FROM {orders} WHERE o_orderkey % 10 = 0 AND o_orderkey >= 1) p",
     "mails": "SELECT '<' || CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) || '@list>' AS message_id, CASE WHEN turn > 0 THEN '<' || CAST(conv_id AS STRING) || ':' || CAST(turn - 1 - (conv_id % 2) * (turn % 2) * CASE WHEN turn > 1 THEN 1 ELSE 0 END AS STRING) || '@list>' END AS in_reply_to, '' AS references, role AS sender, CASE WHEN turn > 0 THEN 'Re: ' ELSE '' END || 'topic ' || CAST(conv_id % 50 AS STRING) AS subject, text AS body, 'list' || CAST(conv_id % 4 AS STRING) || '@example.org' AS recipients, CAST(1600000000 + conv_id * 5000 - turn * 70 AS BIGINT) AS date_timestamp, conv_id, turn FROM {conversations}",
+    "looped_mails": "SELECT message_id, CASE WHEN turn = 0 AND conv_id % 17 = 5 THEN '<' || CAST(conv_id AS STRING) || ':1@list>' ELSE in_reply_to END AS in_reply_to, date_timestamp, conv_id, turn FROM {mails}",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
 }
 

@@ -94,18 +94,28 @@ def diffinfo(t: Tables) -> DataFrame:
 
 
 def _raw(t: Tables) -> DataFrame:
-    head = F.concat(F.lit("From: Some One <"), "role", F.lit("@x.org>\nTo: list@x.org\nDate: Mon, 6 Jan 2020 10:00:0"), F.col("turn").cast("string"), F.lit(" +0000\nSubject: a\n folded "), F.col("conv_id").cast("string"), F.lit("\nMessage-ID: <"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("@x>\n\n"))
-    return t.conversations.where("turn < 10").select(F.sha1(F.col("conv_id").cast("string").cast("binary")).alias("git_commit_sha"), F.concat(head, "text").alias("raw"))
+    date = F.date_format(F.timestamp_seconds(F.lit(1578304800) + F.col("turn")), "EEE, d MMM yyyy HH:mm:ss")
+    head = F.concat(F.lit("From: Some One <"), "role", F.lit("@x.org>\nTo: list@x.org\nDate: "), date, F.lit(" +0000\nSubject: a\n folded "), F.col("conv_id").cast("string"), F.lit("\nMessage-ID: <"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("@x>\n\n"))
+    return t.conversations.select(F.sha1(F.col("conv_id").cast("string").cast("binary")).alias("git_commit_sha"), F.concat(head, "text").alias("raw"))
 
 
-@query("o08_mail_scan", "SELECT '<' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '@x>' AS message_id, 'a folded ' || CAST(conv_id AS VARCHAR) AS subject, 1578304800 + turn AS date_timestamp, text AS body FROM {conversations} WHERE turn < 10")
+@query("o08_mail_scan", "SELECT '<' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '@x>' AS message_id, 'a folded ' || CAST(conv_id AS VARCHAR) AS subject, 1578304800 + turn AS date_timestamp, text AS body FROM {conversations}")
 def mail_scan(t: Tables) -> DataFrame:
     return parse_mails(_raw(t)).select("message_id", "subject", "date_timestamp", "body")
 
 
-@query("o11_mbox", "SELECT 'From ' || role || '@x.org Mon Jan  6 10:00:0' || CAST(turn AS VARCHAR) || ' 2020' AS first, strlen(text) > 0 AS has_body FROM {conversations} WHERE turn < 10")
+_AT = "make_timestamp(CAST((1578304800 + turn) * 1000000 AS BIGINT))"
+_DAY = f"CAST(day({_AT}) AS VARCHAR)"
+
+
+@query(
+    "o11_mbox",
+    f"SELECT conv_id, turn, 'From ' || role || '@x.org ' || strftime({_AT}, '%a %b ') || lpad({_DAY}, 2, ' ') || strftime({_AT}, ' %H:%M:%S %Y') || chr(10) || 'From: Some One <' || role || '@x.org>' || chr(10) || 'Date: ' || strftime({_AT}, '%a, ') || {_DAY} || strftime({_AT}, ' %b %Y %H:%M:%S +0000') || chr(10) || 'Message-ID: <' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '@x>' || chr(10) || 'To: list@x.org' || chr(10) || 'Subject: a folded ' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) || text || chr(10) AS entry FROM {{conversations}}",
+)
 def mbox(t: Tables) -> DataFrame:
-    return mbox_lines(parse_mails(_raw(t))).select(F.substring_index("value", "\n", 1).alias("first"), (F.octet_length("value") > 100).alias("has_body"))
+    """Whole entries of the mailbox."""
+    ids = F.regexp_extract("value", r"\nMessage-ID: <(\d+)\.(\d+)@x>\n", 1), F.regexp_extract("value", r"\nMessage-ID: <(\d+)\.(\d+)@x>\n", 2)
+    return mbox_lines(parse_mails(_raw(t))).select(ids[0].cast("bigint").alias("conv_id"), ids[1].cast("bigint").alias("turn"), F.col("value").alias("entry"))
 
 
 @query("u13_mail_symbols", "SELECT 'src/f' || CAST(p_partkey // 20 AS VARCHAR) || '.c' AS file_path, 'p' || CAST(max(p_partkey) AS VARCHAR) || '()' AS symbols FROM {part} GROUP BY p_partkey // 20")
@@ -114,10 +124,14 @@ def mail_symbols(t: Tables) -> DataFrame:
     return _diffs(t).select("file_path", F.array_join(found(F.concat(F.lit("Hello,\n\n"), "diff")), "|").alias("symbols"))
 
 
-@query("s07_base64_body", "SELECT doc_id, text AS body FROM {documents} WHERE strlen(text) > 200")
+@query(
+    "s07_base64_body",
+    # 57 bytes make a full line; it takes two of them and a third, so that up to 114 bytes stay as they came.
+    "SELECT doc_id, CASE WHEN strlen(text) > 114 THEN text ELSE regexp_replace(to_base64(encode(text)), '(.{{76}})', '\\1' || chr(10), 'g') END AS body FROM {documents}",
+)
 def base64_body(t: Tables) -> DataFrame:
     encoded = F.regexp_replace(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""), "(.{76})", "$1\n")
-    return t.documents.where(F.octet_length("text") > 200).select("doc_id", text.decode_base64_body(encoded).alias("body"))
+    return t.documents.select("doc_id", text.decode_base64_body(encoded).alias("body"))
 
 
 @query("s08_snip_quotes", "SELECT doc_id, 'answer' || chr(10) || repeat('> q' || chr(10), 6) || '[...]' AS body FROM {documents}")

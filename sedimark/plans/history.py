@@ -262,16 +262,8 @@ def mails_of_archive_commit(t: Tables) -> DataFrame:
     return t.mails.where(F.sha1(F.col("conv_id").cast("string").cast("binary")) == F.sha1(F.lit("7").cast("binary"))).select("message_id")
 
 
-@query("o63_sort_by_date", "SELECT message_id, row_number() OVER (ORDER BY date_timestamp DESC, message_id) AS place FROM {mails} QUALIFY place <= 200")
+@query("o63_sort_by_date", "SELECT message_id, row_number() OVER (ORDER BY date_timestamp DESC, message_id) AS newest_place, row_number() OVER (ORDER BY date_timestamp, message_id) AS oldest_place FROM {mails}")
 def sort_by_date(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    first = mail.by_date(t.mails, True).limit(200)  # ranked after the cut: 200 rows
-    return first.select("message_id", F.row_number().over(Window.orderBy(F.desc("date_timestamp"), "message_id")).alias("place"))
-
-
-@query("o63_sort_all_by_date", "SELECT message_id, row_number() OVER (ORDER BY date_timestamp DESC, message_id) AS newest_place, row_number() OVER (ORDER BY date_timestamp, message_id) AS oldest_place FROM {mails}")
-def sort_all_by_date(t: Tables) -> DataFrame:
     newest, oldest = (mail.placed_by_date(t.mails, down).select("message_id", F.col("place").alias(name)) for down, name in ((True, "newest_place"), (False, "oldest_place")))
     return newest.join(oldest, "message_id")
 
@@ -303,6 +295,14 @@ def thread_order(t: Tables) -> DataFrame:
     return mail.thread_order(t.mails)
 
 
+@query(
+    "o75_circular_threads",
+    "WITH RECURSIVE r(message_id, root, path) AS (SELECT message_id, message_id, [lpad(CAST(date_timestamp AS VARCHAR), 12, '0') || ' ' || message_id] FROM {looped_mails} m WHERE in_reply_to IS NULL OR in_reply_to NOT IN (SELECT message_id FROM {looped_mails}) OR conv_id % 17 = 5 AND turn = 1 UNION ALL SELECT m.message_id, root, list_append(path, lpad(CAST(date_timestamp AS VARCHAR), 12, '0') || ' ' || m.message_id) FROM r JOIN {looped_mails} m ON m.in_reply_to = r.message_id AND m.message_id <> r.root) SELECT root, row_number() OVER (PARTITION BY root ORDER BY path) AS place, message_id, len(path) - 1 AS depth FROM r",
+)
+def circular_threads(t: Tables) -> DataFrame:
+    return mail.thread_order(t.looped_mails)
+
+
 @query("o09_new_shards", "SELECT 'l' || CAST(n_regionkey AS VARCHAR) AS list_name, n_nationkey AS shard FROM {nation} n WHERE n_nationkey > coalesce((SELECT max(n_nationkey) FROM {nation} h WHERE h.n_regionkey = n.n_regionkey AND h.n_nationkey < 12 AND h.n_regionkey <> 4), -1)")
 def new_shards(t: Tables) -> DataFrame:
     shards = t.nation.select(F.concat(F.lit("l"), F.col("n_regionkey").cast("string")).alias("list_name"), F.col("n_nationkey").alias("shard"))
@@ -327,13 +327,8 @@ def asctime_address(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", text.asctime(F.col("o_orderdate")).alias("asctime"), text.address(sender).alias("address"))
 
 
-@query("s03_query_tokens", "SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS tokens FROM {documents} WHERE lang = 'en'")
+@query("s03_query_tokens", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS tokens FROM {documents}")
 def query_tokens(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", text.query_tokens(F.substring("text", 1, 80)).alias("tokens"))
-
-
-@query("s03_query_tokens_whole", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS tokens FROM {documents}")
-def query_tokens_whole(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.query_tokens(F.col("text")).alias("tokens"))
 
 
@@ -348,10 +343,10 @@ def clean_type(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.clean_type(dirty).alias("cleaned"), F.col("p_type").isin("SMALL", "LARGE").alias("listed"))
 
 
-@query("s12_primitive_types", "SELECT e AS name, e IN ('int', 'u32', 'unsigned long') AS primitive FROM (SELECT unnest(['int', 'u32', 'unsigned long', 'foo', 'struct int']) AS e) x")
+@query("s12_primitive_types", "SELECT id, id % 6 IN (0, 1, 2, 5) AS primitive, id % 6 = 3 AND false AS struct_is FROM {functions}")
 def primitive_types(t: Tables) -> DataFrame:
-    names = t.spark.createDataFrame([(n,) for n in ("int", "u32", "unsigned long", "foo", "struct int")], "name string")
-    return names.select("name", text.is_primitive(F.col("name")).alias("primitive"))
+    name = F.expr("CASE id % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'u32' WHEN 2 THEN 'unsigned long' WHEN 3 THEN 'struct int' WHEN 4 THEN name ELSE ' size_t' END")
+    return t.functions.select("id", text.is_primitive(name).alias("primitive"), text.is_primitive(F.concat(F.lit("struct "), name)).alias("struct_is"))
 
 
 @query("s13_type_variants", "SELECT DISTINCT p_name, v AS variant FROM (SELECT p_name, unnest(['struct ' || p_name, p_name, 'union ' || p_name, 'enum ' || p_name]) AS v FROM {part}) x")

@@ -51,36 +51,51 @@ def knn_mails(t: Tables) -> DataFrame:
 
 @query("o89_vector_checks", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong, count(*) FILTER (vec_id IN (SELECT doc_id FROM {labels})) AS fetched FROM {embeddings}")
 def vector_checks(t: Tables) -> DataFrame:
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    fetched = vectors.by_keys(t.embeddings, t.labels.select(F.col("doc_id").alias("vec_id")), "vec_id")
-    return count(t.embeddings, "n").join(count(vectors.wrong_dimension(t.embeddings, "embedding", 64), "wrong")).join(count(fetched, "fetched"))  # one row each
+    """One pass: rows, those of another dimension, those that a set of keys fetches."""
+    keys = t.labels.select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("wanted")).distinct()
+    is_wrong = F.coalesce(F.size("embedding"), F.lit(-1)) != 64
+    return t.embeddings.join(keys, "vec_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_wrong, 1)).alias("wrong"), F.count("wanted").alias("fetched"))
 
 
 @query("o88_ivf_probe")
 def ivf_probe(t: Tables) -> DataFrame:
-    centres = vectors.fit_centroids(t.embeddings, "embedding", 32, rounds=4)
-    indexed = vectors.assign(t.embeddings, "embedding", centres)
-    return _rounded(vectors.probe(indexed, "vec_id", "embedding", centres, _query(t), 10))
+    """Index of the whole table, one probe; recall is tested against the exact search."""
+    model = vectors.fit_index(t.embeddings, "embedding", vectors.cluster_count(t.embeddings.count()), rounds=4)
+    indexed = vectors.assign(t.embeddings, "vec_id", "embedding", model)
+    return _rounded(vectors.probe(indexed, t.embeddings, "vec_id", "embedding", model, _query(t), 10))
 
 
-@query("o82_embed")
+_WORDS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^0-9a-z]+'), x -> x <> '' AND length(x) <= 100)"
+#: The components that aren't zero: (doc_id, slot, x) before the vector is brought to unit length.
+_SLOTS = f"w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM {{documents}}), h AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 256 AS slot, CASE WHEN CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM w), v AS (SELECT doc_id, slot, CAST(sum(s) AS DOUBLE) AS x FROM h GROUP BY doc_id, slot HAVING sum(s) <> 0)"
+_COMPONENTS = f"WITH {_SLOTS} SELECT doc_id, slot, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM v"
+
+
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.posexplode("vector").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query("o82_embed", _COMPONENTS)
 def embed_texts(t: Tables) -> DataFrame:
-    return embed(t.documents, "doc_id", F.col("text"))
+    return _components(embed(t.documents, "doc_id", F.col("text")))
 
 
-@query("o83_backfill")
+@query("o83_backfill", _COMPONENTS + " WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
 def backfill(t: Tables) -> DataFrame:
     have = t.labels.select("doc_id")
-    return embed(storage.missing_keys(t.documents.select("doc_id", "text"), have, ["doc_id"]), "doc_id", F.col("text"))
+    return _components(embed(storage.missing_keys(t.documents.select("doc_id", "text"), have, ["doc_id"]), "doc_id", F.col("text")))
 
 
-@query("o85_knn_by_name")
+@query(
+    "o85_knn_by_name",
+    f"WITH {_SLOTS}, q AS (SELECT CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 256 AS slot, sum(CASE WHEN CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS y FROM (SELECT unnest(['void', 'the']) AS word) n GROUP BY 1), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY doc_id) SELECT n.doc_id, round((1 + coalesce(sum(v.x * q.y), 0) / max(norm) / (SELECT sqrt(sum(y * y)) FROM q)) / 2, 5) AS score FROM n LEFT JOIN v ON v.doc_id = n.doc_id AND v.slot IN (SELECT slot FROM q) LEFT JOIN q ON q.slot = v.slot GROUP BY n.doc_id ORDER BY score DESC, doc_id LIMIT 10",
+)
 def knn_by_name(t: Tables) -> DataFrame:
     spark = t.spark
     name = spark.createDataFrame([(0, "void the() {}")], "k int, text string")
     vector = embed(name, "k", F.col("text")).first()["vector"]
-    store = embed(t.documents, "doc_id", F.col("text"))
-    return _rounded(vectors.top_k(store, "doc_id", "vector", vector, 10))
+    store = embed(t.documents, "doc_id", F.col("text")).where(F.exists("vector", lambda x: x != 0))
+    return vectors.top_k(store, "doc_id", "vector", vector, 10, digits=5)
 
 
 @query("o81_normalise_code", "SELECT id, name || '(int a) {{ return ' || CAST(id AS VARCHAR) || '; }}' AS code FROM {functions}")

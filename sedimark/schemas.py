@@ -18,6 +18,9 @@ SCHEMAS: dict[str, str] = {
     "vectors": "content_hash string, vector array<float>",
     "commit_vectors": "git_commit_sha string, vector array<float>",
     "lore_vectors": "message_id string, vector array<float>",
+    "lore_tokens": "token string, message_id string",
+    "vector_index": "content_hash string, cluster int, code binary",
+    "vector_model": "name string, dimension int, part int, data binary",
     "manifest": "commit_sha string, file_path string, git_file_hash string",
 }
 
@@ -34,5 +37,11 @@ KEYS: dict[str, list[str]] = {
     "vectors": ["content_hash"],
     "commit_vectors": ["git_commit_sha"],
     "lore_vectors": ["message_id"],
+    "lore_tokens": ["token", "message_id"],
+    "vector_index": ["content_hash"],
+    "vector_model": ["name", "part"],
     "manifest": ["commit_sha", "file_path"],
 }
+
+#: Columns whose hash tells a row's bucket, where these aren't all of its key: a lookup then reads one bucket.
+BUCKETED_BY: dict[str, list[str]] = {"lore_tokens": ["token"], "functions": ["name"], "types": ["name"], "symbol_filename": ["symbol"]}

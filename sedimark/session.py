@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
+from .checkpoints import cut
 from .functions.embedding import embed
+from .functions.text import tokens
 from .operators import commits, graph, grep, lookup, mail, ranking, storage, vectors
 from .sources.git import GitSource, resolve
+from .streaming.ingest import ingest_sources, rows_of
 
 
 def store_path(given: str | None = None, source: str | None = None) -> str:
@@ -31,13 +35,16 @@ class View:
     manifest: DataFrame | None = None
     overlay: DataFrame | None = None
     touched: DataFrame | None = None
+    overlay_types: DataFrame | None = None
+    overlay_content: DataFrame | None = None
 
     def _at(self, rows: DataFrame) -> DataFrame:
         return rows if self.manifest is None else lookup.at_commit(rows, self.manifest)
 
     @property
     def content(self) -> DataFrame:
-        return self.catalog.load("content").select("hash", "content")
+        stored = self.catalog.load("content").select("hash", "content")
+        return stored if self.overlay_content is None else self.overlay_content.unionByName(storage.missing_keys(stored, self.overlay_content, ["hash"]))
 
     @property
     def functions(self) -> DataFrame:
@@ -46,7 +53,8 @@ class View:
 
     @property
     def types(self) -> DataFrame:
-        return self._at(self.catalog.load("types"))
+        rows = self._at(self.catalog.load("types"))
+        return rows if self.overlay_types is None else lookup.with_overlay(rows, self.overlay_types, self.touched)
 
     def with_bodies(self, rows: DataFrame) -> DataFrame:
         return storage.resolve_content(rows, self.content, "body_hash").withColumn("n_params", F.coalesce(F.size("parameters"), F.lit(0)))
@@ -100,9 +108,29 @@ class View:
         start = lambda sha: spark.createDataFrame([(sha,)], "git_sha string")
         return commits.commit_range(parents, start(old), start(new))
 
+    def vcommits(self, text: str, limit: int = 10, **filters) -> DataFrame:
+        """Commits nearest to a text, the filters applied before the cut."""
+        rows = commits.filter_commits(self.catalog.load("git_commits"), **filters)
+        return self._nearest("commit_vectors", "git_commit_sha", rows.withColumn("git_commit_sha", F.col("git_sha")), text, limit)
+
+    def vmails(self, text: str, limit: int = 10, since: int | None = None, until: int | None = None, **patterns) -> DataFrame:
+        """Mails nearest to a text, the filters applied before the cut."""
+        return self._nearest("lore_vectors", "message_id", mail.search(self.catalog.load("lore"), since, until, **patterns), text, limit)
+
+    def _nearest(self, table: str, key: str, rows: DataFrame, text: str, limit: int) -> DataFrame:
+        store = vectors.by_keys(self.catalog.load(table), rows.select(key), key)
+        scores = vectors.top_k(store, key, "vector", self._embed(text), limit)
+        return vectors.hits(scores, rows, key).orderBy(F.desc("score"), key)
+
     def search_mail(self, since: int | None = None, until: int | None = None, limit: int = 100, **patterns) -> DataFrame:
         return mail.by_date(mail.search(self.catalog.load("lore"), since, until, **patterns), True).limit(limit)
 
+    def mails_with_words(self, words: str) -> DataFrame:
+        """Mails that have all words, by the stored index: only the buckets of those words are read."""
+        wanted = [w for w in self.catalog.spark.createDataFrame([(words,)], "t string").select(F.array_distinct(tokens(F.col("t")))).first()[0]]
+        found = mail.having_all_tokens(self.catalog.load("lore_tokens", token=wanted), "message_id", wanted)
+        return self.catalog.load("lore").join(found, "message_id", "left_semi")
+
     def thread(self, message_id: str) -> DataFrame:
         mails = self.catalog.load("lore")
         root = mail.thread_root(mails, mail.by_message_id(mails, message_id).select("message_id"))
@@ -131,6 +159,30 @@ class View:
         due = storage.missing_keys(self.content.select(F.col("hash").alias("content_hash"), "content"), self.catalog.load("vectors"), ["content_hash"])
         self.catalog.merge("vectors", embed(due, "content_hash", F.col("content")))
 
+    def embed_commits(self) -> None:
+        """Vectors of commit messages that have none yet."""
+        rows = self.catalog.load("git_commits").select(F.col("git_sha").alias("git_commit_sha"), F.concat_ws("\n", "subject", "message").alias("content"))
+        self.catalog.merge("commit_vectors", embed(storage.missing_keys(rows, self.catalog.load("commit_vectors"), ["git_commit_sha"]), "git_commit_sha", F.col("content")))
+
+    def embed_mails(self) -> None:
+        """Vectors of mails that have none yet."""
+        rows = self.catalog.load("lore").select("message_id", F.concat_ws("\n", "subject", "body").alias("content"))
+        self.catalog.merge("lore_vectors", embed(storage.missing_keys(rows, self.catalog.load("lore_vectors"), ["message_id"]), "message_id", F.col("content")))
+
+    def index_vectors(self) -> None:
+        """The stored index of all content vectors, made anew; none where there are too few of them."""
+        store = self.catalog.load("vectors")
+        clusters = vectors.cluster_count(store.count())
+        if clusters:
+            model = vectors.fit_index(store, "vector", clusters)
+            self.catalog.save("vector_index", vectors.assign(store, "content_hash", "vector", model))
+            self.catalog.save("vector_model", self.catalog.spark.createDataFrame(model.rows(), "name string, dimension int, part int, data binary"))
+
+    def vprobe(self, text: str, limit: int = 10, probes: int = 10) -> DataFrame:
+        """(content_hash, score) of the content nearest to a text by the stored index."""
+        model = vectors.IndexModel.of(self.catalog.load("vector_model").collect())
+        return vectors.probe(self.catalog.load("vector_index"), self.catalog.load("vectors"), "content_hash", "vector", model, self._embed(text), limit, probes)
+
     def _names(self, *names: str) -> DataFrame:
         return self.catalog.spark.createDataFrame([(n,) for n in names], "name string")
 
@@ -158,5 +210,46 @@ class Engine:
         """A snapshot of the working directory over a view: its rows, and the paths changed or deleted."""
         return replace(view, overlay=rows, touched=touched)
 
+    def workdir(self, view: View) -> View:
+        """A snapshot of the working directory over a view: modified and staged files are read anew, deleted ones are gone.
+
+        The snapshot is materialised, so that all verbs of the view see the same files.
+        """
+        changed = cut(self.git("workdir"))
+        functions, types, content = rows_of(changed.where("NOT deleted").select("file_path", "git_file_hash", "content"))
+        return replace(view, overlay=functions, touched=changed.select("file_path"), overlay_types=types, overlay_content=content.select("hash", "content"))
+
+    def ingest_branch(self, name: str) -> int:
+        """Files of a branch that aren't stored yet; the whole tree where the branch is new, what changed since its tip else.  Marks the tip last."""
+        tip = resolve(self.repo, branch=name)
+        if not tip.strip("0"):
+            raise ValueError(f"no branch {name}")
+        with self.catalog.task(f"branch-{name.replace('/', '_')}"):
+            known = {r["branch_name"]: r["tip_commit"] for r in self.branches().where(F.col("branch_name") == name).collect()}
+            n = 0
+            if known.get(name) != tip:
+                blobs = self.git("blobs", tip)
+                if name in known:
+                    before = self.git("tree", known[name]).select("file_path", "git_file_hash")
+                    blobs = storage.missing_keys(blobs, before, ["file_path", "git_file_hash"])
+                n = ingest_sources(self.catalog, blobs, tip)
+                remote = name.split("/")[0] if "/" in name and self.git("refs").where((F.col("branch_name") == name) & F.col("remote").isNotNull()).count() else None
+                row = self.spark.createDataFrame([(name, tip, int(time.time()), remote)], "branch_name string, tip_commit string, indexed_at bigint, remote string")
+                self.catalog.merge("indexed_branches", row)
+        return n
+
+    def branches(self, remote: str | None = None, commit: str | None = None) -> DataFrame:
+        """Branches that are indexed, of a remote, at a commit."""
+        found = self.catalog.load("indexed_branches")
+        found = found if remote is None else found.where(F.col("remote") == remote)
+        return found if commit is None else found.where(F.col("tip_commit") == commit)
+
+    def forget_branch(self, name: str) -> None:
+        self.catalog.delete("indexed_branches", F.col("branch_name") == name)
+
+    def status(self) -> DataFrame:
+        """(branch_name, tip_commit, indexed_tip, status) of every branch of the repository."""
+        return commits.branch_status(self.git("refs").select("branch_name", "tip_commit"), self.branches())
+
     def git(self, scan: str, rev: str = "HEAD") -> DataFrame:
         return self.spark.read.format("git").option("repo", self.repo).option("scan", scan).option("rev", rev).load()

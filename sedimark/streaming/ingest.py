@@ -13,30 +13,39 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..checkpoints import cut
 from ..extract.code import extract_sources, functions_of, types_of
-from ..operators.storage import content_store, missing_keys, shard_of, symbol_table
+from ..operators.mail import token_index
+from ..operators.storage import missing_keys, shard_of, symbol_table
+from ..schemas import SCHEMAS
 from ..sources.mail import parse_mails
 
 
+def rows_of(blobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Functions, types and content (hash, content, shard) of files (file_path, git_file_hash, content), as the store has them."""
+    extracted = cut(extract_sources(blobs))
+    functions, types = functions_of(extracted), types_of(extracted)
+    full = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["type_name"].alias("type_name"), F.lit(None).cast("string").alias("type_file_path"), F.lit(None).cast("string").alias("type_git_file_hash")))
+    fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["type_name"].alias("type_name"), F.lit(None).cast("bigint").alias("offset")))
+    bodies = functions.select("body").union(types.select("definition"))
+    texts = bodies.where("body <> ''").select(F.sha2(F.col("body").cast("binary"), 256).alias("hash"), F.col("body").alias("content")).dropDuplicates(["hash"])
+    shaped = lambda df, table: df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.sparkSession.createDataFrame([], SCHEMAS[table]).schema))
+    return shaped(functions.drop("body").withColumn("parameters", full), "functions"), shaped(types.drop("definition").withColumn("fields", fields), "types"), texts.withColumn("shard", shard_of(F.col("hash")))
+
+
 def ingest_sources(catalog: Catalog, blobs: DataFrame, git_sha: str | None = None) -> int:
     """Files (file_path, git_file_hash, content) that aren't processed yet; how many.
 
     Keyed by path and blob: the same text at two paths is indexed under both.  Files are marked last.
     """
     done = catalog.load("processed_files").select(F.col("file").alias("file_path"), F.col("git_file_sha").alias("git_file_hash"))
-    fresh = missing_keys(blobs.dropDuplicates(["file_path", "git_file_hash"]), done, ["file_path", "git_file_hash"])
-    extracted = cut(extract_sources(fresh))
-    functions, types = functions_of(extracted), types_of(extracted)
-    full = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["type_name"].alias("type_name"), F.lit(None).cast("string").alias("type_file_path"), F.lit(None).cast("string").alias("type_git_file_hash")))
-    fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["type_name"].alias("type_name"), F.lit(None).cast("bigint").alias("offset")))
-    bodies = functions.select("body").union(types.select("definition"))
-    texts = bodies.where("body <> ''").select(F.sha2(F.col("body").cast("binary"), 256).alias("hash"), F.col("body").alias("content")).dropDuplicates(["hash"])
-    catalog.merge("content", texts.withColumn("shard", shard_of(F.col("hash"))))
-    catalog.merge("functions", functions.drop("body").withColumn("parameters", full))
-    catalog.merge("types", types.drop("definition").withColumn("fields", fields))
+    fresh = cut(missing_keys(blobs.dropDuplicates(["file_path", "git_file_hash"]), done, ["file_path", "git_file_hash"]).select("file_path", "git_file_hash", "content"))
+    functions, types, content = rows_of(fresh)
+    catalog.merge("content", content)
+    catalog.merge("functions", functions)
+    catalog.merge("types", types)
     catalog.merge("symbol_filename", symbol_table(functions, types))
-    seen = cut(fresh.select(F.col("file_path").alias("file"), F.lit(git_sha).cast("string").alias("git_sha"), F.col("git_file_hash").alias("git_file_sha")))
+    seen = fresh.select(F.col("file_path").alias("file"), F.lit(git_sha).cast("string").alias("git_sha"), F.col("git_file_hash").alias("git_file_sha"))
     catalog.append("processed_files", seen)
-    return seen.count()
+    return fresh.count()
 
 
 def ingest_commits(catalog: Catalog, commits: DataFrame) -> int:
@@ -58,6 +67,7 @@ def ingest_mails(catalog: Catalog, raw: DataFrame) -> int:
     known = missing_keys(mails.dropDuplicates(["message_id"]), catalog.load("lore"), ["message_id"])
     stored = cut(known)
     catalog.append("lore", stored)
+    catalog.append("lore_tokens", token_index(stored.select("message_id", F.concat_ws(" ", "subject", "body").alias("words")), "message_id", "words"))
     catalog.merge("lore_indexed_commits", mails.select("git_commit_sha"))
     return stored.count()
 
