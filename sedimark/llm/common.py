@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,20 +20,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset, as in tests, one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, on one machine alone, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimark-"))
     return named or context.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends, since results may be read until then."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """``df`` written in the shared folder in as many buckets by ``key`` as a shuffle has partitions: joins on it don't shuffle it again."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{kind}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", own_folder(spark, kind)).saveAsTable(name)
+    return spark.table(name)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column`` each.
 
@@ -54,24 +74,22 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         yield batch.slice(start)
 
 
+def balanced(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """As ``blocks``, and batches of few bytes are put together until they hold about ``limit``."""
+    held, size = [], 0
+    for batch in blocks(batches, column, limit):
+        n = batch.column(batch.schema.get_field_index(column)).nbytes
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is; such files are never copied."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-class Memo(dict):
-    """``memo[word]`` is ``make(word)``; forgets everything at ``most`` entries, keeps no word over ``longest``."""
-
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
-        super().__init__()
-        self.make, self.most, self.longest = make, most, longest
-
-    def __missing__(self, word):
-        value = self.make(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value

@@ -10,9 +10,10 @@ end of the string together are equal, so no digest decides anything.
   representative before anything is shuffled: a text that makes up a third of
   all rows leaves a block as one row.
 * **Between blocks** the representatives are shuffled by their leading digits
-  (length and first bytes).  ``rounds`` salted rounds come first, each of which
-  collapses the representatives of up to ``fan_in`` blocks, so that no task of
-  the last round sees more than blocks / fan_in**rounds representatives of one text.
+  (length and first bytes).  A group that a task can hold is split to the end there.
+  A larger one, many texts of one head or one text of every block, is split on the
+  cluster by its next bytes, a slice eight times as long each round; a group whose
+  texts have ended is one class, put together by an aggregate with a map side.
 * Members find their class through their block's representative, a key that
   at most one block of rows shares.
 """
@@ -22,16 +23,19 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_dir
+from .common import blocks, cut, own_folder
 
 #: Bytes of the text that count as leading digits in a shuffle key.
 LEADING = 48
+#: Bytes of representatives with equal leading digits that one task holds.
+GROUP_BYTES = 64 << 20
 
 _LOCAL = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("local", pa.int64()), ("rep", pa.bool_()), ("n", pa.int64()), ("top", pa.int64()), ("size", pa.int64()), ("lead", pa.binary()), ("norm", pa.binary())])
 _LOCAL_DDL = "row long, doc_id long, text_sha256 string, local long, rep boolean, n long, top long, size long, lead binary, norm binary"
@@ -82,87 +86,90 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-_MERGED_DDL = "local long, root long, n long, top long, size long, lead binary, norm binary, rep boolean"
-_MERGED = pa.schema([("local", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("top", pa.int64()), ("size", pa.int64()), ("lead", pa.binary()), ("norm", pa.binary()), ("rep", pa.bool_())])
+_MERGED_DDL = "local long, root long, group_size long, keep_id long"
+_MERGED = pa.schema([("local", pa.int64()), ("root", pa.int64()), ("group_size", pa.int64()), ("keep_id", pa.int64())])
 
 
 class _Merger:
-    """Collapses runs of representatives that share their leading digits, as they stream by in that order."""
+    """Classes of the representatives (key columns, local, n, top, norm) that stream by, sorted by their keys, of which each is held as a whole."""
 
-    def __init__(self, keep_text: bool):
-        self.keep_text = keep_text
+    def __init__(self, keys: int):
+        self.keys = keys
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A run of equal leading digits may hold many different texts, so what is held for it is one text per class.
-        key, classes = None, []
+        key, held = None, []
         out: list[tuple] = []
         for batch in batches:
-            for local, n, top, size, lead, norm in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (size, lead) != key:
-                    out.extend(self.close(classes))
-                    key, classes = (size, lead), []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for at, own in zip(zip(*columns[: self.keys]), zip(*columns[self.keys :])):
+                if at != key:
+                    out.extend(self.classes(held))
+                    key, held = at, []
                     if len(out) >= 2000:
                         yield self.batch(out)
                         out = []
-                self.place(classes, local, n, top, size, lead, norm)
-        out.extend(self.close(classes))
+                held.append(own)
+        out.extend(self.classes(held))
         if out:
             yield self.batch(out)
 
     @staticmethod
-    def place(classes: list, local, n, top, size, lead, norm) -> None:
-        # Further digits, slice by slice: a class stays possible while every slice agrees.
-        depth, width, possible = LEADING, 64, classes
-        while possible and depth < size:
-            digits = norm[depth : depth + width]
-            possible = [c for c in possible if c[0][depth : depth + width] == digits]
-            depth, width = depth + width, min(width * 8, 1 << 20)
-        member = (top is not None, top or 0, local, n)
-        if possible:
-            possible[0][3].append(member)
-        else:
-            classes.append((norm, size, lead, [member]))
-
-    def close(self, classes: list) -> Iterator[tuple]:
-        for norm, size, lead, members in classes:
-            has, top, root, _ = max(members, key=lambda m: (m[0], m[1], -m[2]))
-            total = sum(m[3] for m in members)
-            for _, _, local, _ in members:
-                first = local == root
-                yield local, root, total, top if has else None, size, lead if first else None, norm if first and self.keep_text else None, first
+    def classes(held: list[tuple]) -> Iterator[tuple]:
+        """Of (local, n, top, norm): one group of equal leading digits."""
+        for group in [[0]] if len(held) == 1 else radix_classes([h[3] for h in held]):
+            local, _, top, _ = max((held[i] for i in group), key=lambda h: (h[2] is not None, h[2] or 0, -h[0]))
+            total = sum(held[i][1] for i in group)
+            for i in group:
+                yield held[i][0], local, total, top
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MERGED)], schema=_MERGED)
 
 
-def exact_dedup(docs: DataFrame, row: Column | None = None, rounds: int = 0, fan_in: int = 256) -> DataFrame:
+def _merged(reps: DataFrame, *keys: str) -> DataFrame:
+    """(local, root, group_size, keep_id) of representatives whose groups by ``keys`` a task can hold."""
+    return reps.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "local", "n", "top", "norm").mapInArrow(_Merger(len(keys)), _MERGED_DDL)
+
+
+def _split(reps: DataFrame, limit: int) -> DataFrame:
+    """As ``_merged``, of representatives (local, n, top, size, lead, norm) whose groups by (size, lead) may be of any size."""
+    numbered = lambda df: cut(df.withColumn("next", F.monotonically_increasing_id()))
+    groups = reps.groupBy("size", "lead").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k"))
+    large = numbered(groups.where((F.col("bytes") > limit) & (F.col("k") > 1)).select("size", "lead"))
+    if large.isEmpty():
+        return _merged(reps, "size", "lead")
+    out = [_merged(reps.join(large, ["size", "lead"], "left_anti"), "size", "lead")]
+    deep, depth, width = cut(reps.join(large, ["size", "lead"]).select(F.col("next").alias("at"), "local", "n", "top", "size", "norm")), LEADING, 8 * LEADING
+    while True:
+        deep = deep.withColumn("slice", F.substring("norm", depth + 1, width))
+        groups = numbered(deep.groupBy("at", "slice").agg(F.max("size").alias("long"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("group_size"), F.max(F.struct(F.col("top").isNotNull(), F.coalesce("top", F.lit(0)), -F.col("local"), "top")).alias("best")))
+        ended, held = F.col("long") <= depth + width, (F.col("bytes") <= limit) | (F.col("k") == 1)
+        known = deep.join(groups.select("at", "slice", "next", "long", "bytes", "k"), ["at", "slice"])
+        whole = groups.where(ended).select("at", "slice", (-F.col("best.col3")).alias("root"), "group_size", F.col("best.top").alias("keep_id"))
+        out.append(deep.join(whole, ["at", "slice"]).select("local", "root", "group_size", "keep_id"))
+        out.append(_merged(known.where(~ended & held), "next"))
+        deep = cut(known.where(~ended & ~held).select(F.col("next").alias("at"), "local", "n", "top", "size", "norm"))
+        if deep.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        depth, width = depth + width, min(8 * width, 1 << 24)
+
+
+def exact_dedup(docs: DataFrame, row: Column | None = None, limit: int = GROUP_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and ``row`` where it is given).
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text.  The largest doc_id of a class
     stays, exactly one row of it even where rows repeat (then one of the equal ones); null ids are below all others.
     An empty table gives an empty one.  Only doc_id and text are read; other columns may have any names.
-    ``rounds``: salted rounds before the last; one is enough up to some 60,000 blocks of 32 MB.
+    ``limit``: bytes of representatives with equal leading digits that one task holds.
     """
     spark = docs.sparkSession
     narrow = docs.select((row if row is not None else F.lit(None)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Written once: members and representatives must agree on the numbers of the classes even when a task is run again.
-    path = f"{shared_dir(spark)}/radix-{spark._jvm.java.util.UUID.randomUUID()}"
+    path = own_folder(spark, "radix")
     narrow.mapInArrow(_local_classes, _LOCAL_DDL).write.parquet(path)
     local = spark.read.parquet(path)
     members = local.select("row", "doc_id", "text_sha256", "local", "rep")
-    reps = local.filter("rep").select("local", "n", "top", "size", "lead", "norm")
-    links = []
-    for turn in range(rounds):
-        salt = F.pmod(F.shiftright("local", 36) + F.shiftright("local", 16), F.lit(fan_in ** (rounds - turn)))
-        merged = reps.withColumn("salt", salt).repartition("size", "lead", "salt").sortWithinPartitions("size", "lead", "salt").select("local", "n", "top", "size", "lead", "norm").mapInArrow(_Merger(True), _MERGED_DDL)
-        step = f"{path}-{turn}"
-        merged.write.parquet(step)
-        merged = spark.read.parquet(step)
-        links.append(merged.select("local", "root"))
-        reps = merged.filter("rep").select("local", "n", "top", "size", "lead", "norm")
-    final = reps.repartition("size", "lead").sortWithinPartitions("size", "lead").mapInArrow(_Merger(False), _MERGED_DDL).select("local", "root", F.col("n").alias("group_size"), F.col("top").alias("keep_id"))
-    for step in reversed(links):  # back through the salted rounds
-        final = step.withColumnRenamed("root", "up").join(final.withColumnRenamed("local", "up"), "up").select("local", "root", "group_size", "keep_id")
+    final = _split(local.filter("rep").select("local", "n", "top", "size", "lead", "norm"), limit)
     kept = F.col("rep") & (F.col("local") == F.col("root"))
     return members.join(final, "local").select(*(["row"] if row is not None else []), "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

@@ -13,6 +13,7 @@ block's n-grams, so Python loops over documents or letters nowhere.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ DOC_PROFILE = 300
 LANG_PROFILE = 3000
 #: Rows of a language that its profile is learned from, about; a bounded sample.
 TRAIN_ROWS = 5000
+#: Values of lang that are learned, the most frequent ones.
+MAX_LANGUAGES = 512
 MARK = ord("_")
 UNKNOWN = "und"
 
@@ -103,7 +106,8 @@ class _Count:
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows of each language, all of a language that has no more: those with the least hashes of doc_id."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    labelled = labelled.where(F.col("lang").isin(list(counts)))
     many = [F.when(F.col("lang") == lang, F.lit(int(rows / n * 2**32))) for lang, n in counts.items() if n > rows]
     if not many:
         return labelled
@@ -169,8 +173,8 @@ class Classifier:
 class _Predict:
     """Adds lang_pred, score and distance to the columns, of which ``text`` stays only if it is kept."""
 
-    def __init__(self, ranked: dict[str, list[int]], doc_profile: int, keep: bool):
-        self.ranked, self.doc_profile, self.keep = ranked, doc_profile, keep
+    def __init__(self, ranked: dict[str, list[int]], doc_profile: int, keep: bool, names: tuple[str, str, str] = ("lang_pred", "score", "distance")):
+        self.ranked, self.doc_profile, self.keep, self.names = ranked, doc_profile, keep, names
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify, alphabet = Classifier(self.ranked, self.doc_profile), _Alphabet()
@@ -178,7 +182,7 @@ class _Predict:
             text = batch.schema.get_field_index("text")
             best, score, far = classify(batch.column(text).to_pylist(), alphabet)
             own = [i for i in range(batch.num_columns) if self.keep or i != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(best, pa.string()), pa.array(score), pa.array(far)], [*(batch.schema.names[i] for i in own), "_lang_pred", "_score", "_distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(best, pa.string()), pa.array(score), pa.array(far)], [*(batch.schema.names[i] for i in own), *self.names])
 
 
 def held_out(doc_id) -> F.Column:
@@ -193,13 +197,12 @@ def language_id(docs: DataFrame, doc_profile: int = DOC_PROFILE, lang_profile: i
     Null texts, texts without a letter, and all texts where nothing could be learned are ``und`` with score 0.
     score: 1 - distance of the nearest / distance of the runner-up.  distance: out-of-place points as a part of the
     most possible, 1 for ``und``.  Ties go to the language that is first by name.  Rows that repeat stay; an empty table
-    gives an empty one.  Only doc_id, text and lang are read.  The number of languages is taken to be a few hundred
-    at most: profiles (``lang_profile`` n-grams each) go through the driver.
+    gives an empty one.  Only doc_id, text and lang are read.  Learned are the ``MAX_LANGUAGES`` most frequent values of
+    lang, so that profiles (``lang_profile`` n-grams each), which go through the driver, stay within some 50 MB.
     """
     ranked = profiles(_labelled(docs), lang_profile, train_rows)
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    found = inputs.mapInArrow(_Predict(ranked, doc_profile, False), "doc_id long, held_out boolean, _lang_pred string, _score double, _distance double")
-    return found.toDF("doc_id", "held_out", "lang_pred", "score", "distance")
+    return inputs.mapInArrow(_Predict(ranked, doc_profile, False), "doc_id long, held_out boolean, lang_pred string, score double, distance double")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -210,10 +213,12 @@ def _labelled(docs: DataFrame) -> DataFrame:
 def in_known_languages(docs: DataFrame, furthest: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, with that as their ``lang``.
 
-    Rejected are ``und`` texts and those further than ``furthest`` of the largest possible distance from every profile.
-    Other columns pass unchanged.
+    Rejected are ``und`` texts (null, empty, without a letter) and those further than ``furthest`` of the largest possible
+    distance from every profile; without a labelled row, all.  Rows that repeat stay, texts may be of any length, ties go to
+    the language that is first by name, an empty table gives an empty one.  Other columns pass unchanged, whatever their names.
     """
     ranked = profiles(_labelled(docs))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_lang_pred string, _score double, _distance double"])
-    found = docs.mapInArrow(_Predict(ranked, DOC_PROFILE, True), schema).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_distance") <= furthest))
-    return found.select(*(F.col("_lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    lang, score, distance = names = tuple(f"{x}_{uuid.uuid4().hex}" for x in ("lang", "score", "distance"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{lang} string, {score} double, {distance} double"])
+    found = docs.mapInArrow(_Predict(ranked, DOC_PROFILE, True, names), schema).where((F.col(lang) != UNKNOWN) & (F.col(distance) <= furthest))
+    return found.select(*(F.col(lang).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))

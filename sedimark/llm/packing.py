@@ -55,7 +55,8 @@ class Encoder:
     a special token, is left to the library between one white space and the next, across which it joins nothing either.
     """
 
-    MEMO = 600_000
+    #: Words remembered, and their characters at most: one that is longer is forgotten with its batch.
+    MEMO, LONGEST = 600_000, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,19 +84,26 @@ class Encoder:
     def library(self, text: str) -> bytes:
         out = []
         for word in re.split("[ \t\n\r]+", text):
-            if word not in self.others:
-                if len(self.others) > self.MEMO // 10:
-                    self.others = {}
-                self.others[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-            out.append(self.others[word])
+            ids = self.others.get(word)
+            if ids is None:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+                if len(word) <= self.LONGEST:
+                    if len(self.others) > self.MEMO // 10:
+                        self.others = {}
+                    self.others[word] = ids
+            out.append(ids)
         return b"".join(out)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         plain = [_PLAIN.fullmatch(t or "") and not any(s in (t or "") for s in self.special) for t in texts]
         split = [_WORDS.findall(t.lower()) if t and p else [] for t, p in zip(texts, plain)]
-        self.learn(set().union(*split))
+        every = set().union(*split)
+        self.learn(every)
         for text, p, words in zip(texts, plain, split):
             yield b"".join(map(self.words.__getitem__, words)) if p else self.library(text)
+        for word in every:
+            if len(word) > self.LONGEST:
+                del self.words[word]
 
 
 class _Pieces:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tokenizer_path
+from .common import blocks, cut, tokenizer_path
 
 #: Characters of a chunk, and chunks whose matrices are combined at first.
 CHUNK = 1 << 15
@@ -415,14 +415,37 @@ class _Transfer:
             yield _batch([(r, c, zlib.compress(pickle.dumps(transfer(model, x, y, z)))) for r, c, x, y, z in zip(row, chunk, before, body, after)], "row long, chunk int, matrix binary")
 
 
+def _matrices(table: pa.Table) -> list[Matrix]:
+    return [pickle.loads(zlib.decompress(m)) for m in table.column("matrix").to_pylist()]
+
+
+def _product(table: pa.Table) -> pa.Table:
+    """The product of a block of ``COMBINED`` neighbouring chunks of one text."""
+    group = _matrices(table.sort_by("chunk"))
+    while len(group) > 1:  # any order of combination gives the same
+        group = [combine(*group[i : i + 2]) if len(group[i : i + 2]) == 2 else group[i] for i in range(0, len(group), 2)]
+    first = [table.column(n)[0].as_py() for n in ("row", "block")]
+    return pa.Table.from_batches([_batch([(*first, zlib.compress(pickle.dumps(group[0])))], "row long, block int, matrix binary")])
+
+
+def _states(keys: list[tuple], states: list[State], ddl: str) -> pa.Table:
+    return pa.Table.from_batches([_batch([(*k, *x, *y) for k, x, y in zip(keys, states, states[1:])], ddl)])
+
+
 def _scan(table: pa.Table) -> pa.Table:
-    """One text's matrices, in order of its chunks -> the states at each chunk's borders."""
+    """One text's products, in order of its blocks -> the states at each block's borders."""
+    table = table.sort_by("block")
+    return _states(list(zip(table.column("row").to_pylist(), table.column("block").to_pylist())), _walk(_matrices(table), START, None), _OUTER)
+
+
+def _within(table: pa.Table, outer: pa.Table) -> pa.Table:
+    """One block's matrices and the states at its borders -> the states at each chunk's borders."""
     table = table.sort_by("chunk")
-    states = borders([pickle.loads(zlib.decompress(m)) for m in table.column("matrix").to_pylist()])
-    rows = [(r, c, a[0], a[1], b[0], b[1]) for r, c, a, b in zip(table.column("row").to_pylist(), table.column("chunk").to_pylist(), states, states[1:])]
-    return pa.Table.from_batches([_batch(rows, _STATES)])
+    first, last = ((outer.column(f"{x}_piece")[0].as_py(), outer.column(f"{x}_beyond")[0].as_py()) for x in ("left", "right"))
+    return _states(list(zip(table.column("row").to_pylist(), table.column("chunk").to_pylist())), _walk(_matrices(table), first, last), _STATES)
 
 
+_OUTER = "row long, block int, left_piece string, left_beyond int, right_piece string, right_beyond int"
 _STATES = "row long, chunk int, left_piece string, left_beyond int, right_piece string, right_beyond int"
 
 
@@ -482,8 +505,9 @@ def piece_ids(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> D
     chunk's text back (U+2581 as a space).  Null and empty texts are one chunk without ids.  Rows that repeat and null
     ids are encoded each for itself; an empty table gives an empty one.  Only doc_id and text are read.
 
-    Only chunks of giant texts are shuffled.  A text's matrices meet in one task: some KB for each 32 KB of text, so at
-    most some 100 MB for the longest string that a cell can hold.
+    Only chunks of giant texts are shuffled.  Their matrices, some KB for each 32 KB of text, are combined in blocks of
+    ``COMBINED``, the products in one task a text (one for each 2 MB of it), then every block is walked and every chunk
+    traced by itself.  ``docs`` must be read alike each time, as a written table is.
     """
     path = path or tokenizer_path("piece_bpe_32k.model")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -491,6 +515,8 @@ def piece_ids(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> D
     whole = own.where(~giant).select("doc_id", "text").mapInArrow(_Whole(path), "doc_id long, chunk int, chunks int, ids array<int>, decoded boolean")
     chunks = own.where(giant).mapInArrow(_Cut(path, chunk), _CHUNKS).repartition("row", "chunk")
     matrices = chunks.select("row", "chunk", "before", "body", "after").mapInArrow(_Transfer(path), "row long, chunk int, matrix binary")
-    states = matrices.groupBy("row").applyInArrow(_scan, _STATES)
+    matrices = cut(matrices.withColumn("block", F.expr(f"chunk div {COMBINED}").cast("int")))
+    outer = matrices.groupBy("row", "block").applyInArrow(_product, "row long, block int, matrix binary").groupBy("row").applyInArrow(_scan, _OUTER)
+    states = matrices.groupBy("row", "block").cogroup(outer.groupBy("row", "block")).applyInArrow(lambda a, b: _within(a, b), _STATES)
     traced = chunks.join(states, ["row", "chunk"]).mapInArrow(_Trace(path), "doc_id long, chunk int, chunks int, ids array<int>, decoded boolean")
     return whole.unionByName(traced)

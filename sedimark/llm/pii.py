@@ -4,19 +4,25 @@
 expressions are written so that a long run of digits or letters is read once: a
 match can only begin where a run begins, and runs are never given back.
 
-*Bootstrap.*  Tokens that hold a digit or ``@`` are candidates.  A candidate that
-overlaps a base match is a seed.  The words on both sides of it, with the kind of
-token that it is, are its lexical pattern; an instance has as many as it has
-contexts.  In rounds, a pattern's confidence is the mean confidence of its distinct
-instances (shrunk by one doubtful instance), patterns with too few instances of
-some confidence count for nothing, and an instance that is no seed is as sure as
-the noisy-or of its patterns.  Instances that end above ``accept`` are identifiers, wherever they stand;
-their spans are of kind ``context`` and come beside the base ones.
+*Bootstrap.*  Tokens of five characters or more that hold a digit or ``@`` are
+candidates.  A candidate that overlaps a base match is a seed.  Its lexical patterns
+are, each with the kind of token that it is, the word before it, the word after it,
+and the two together (of up to 64 characters on either side).  In rounds, until none
+is added, a pattern's confidence is the mean confidence of its distinct instances
+(shrunk by one doubtful instance), patterns with too few sure instances, or more
+doubtful than sure, count for nothing, and an instance that is no seed is as sure as
+the noisy-or of its patterns in the family (before, after, both) that speaks most for
+it.  Instances that end above ``accept`` are identifiers, wherever they stand; their
+spans are of kind ``context`` and come beside the base ones.  A candidate that has a
+base kind's form and failed its test (a number that is no card) was judged already: it
+speaks against its patterns and is never accepted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -82,32 +88,48 @@ def _overlaps(kind: str) -> str:
 
 _SHAPE = "CASE WHEN contains(value, '@') THEN 'address' WHEN value RLIKE r'\\p{L}' THEN 'mixed' ELSE 'number' END"
 _WORD = "regexp_replace(lower({}), '[0-9]', '0')"
+#: What has the form of a base kind as a whole.
+_JUDGED = r"value RLIKE r'^[^0-9+]*(?:[0-9](?:[\x20-]?[0-9]){15,18}|[0-9]+(?:\.[0-9]+){3}|\+[0-9][\x20().0-9-]+[0-9])[^0-9]*$'"
+
 
+def discovered(found: DataFrame, rounds: int = 8, least: int = 3, accept: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(row, start, end, value) of all candidates that no base span overlaps, and the values that are identifiers.
 
-def discovered(found: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(row, start, end, value) of all candidates that no base span overlaps, and the values that are identifiers."""
+    ``rounds`` is a bound; the iteration ends as soon as a round adds nothing.
+    """
     seed = " OR ".join(map(_overlaps, KINDS))
     occurrences = found.where("size(candidate) > 0").selectExpr("row", "explode(transform(candidate, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'before', c.before, 'after', c.after, 'seed', " + seed + "))) AS c").select("row", "c.*")
     words = occurrences.select("row", "start", "end", "value", "seed", F.expr(_SHAPE).alias("shape"), F.expr(_WORD.format("regexp_extract(before, r'(?<!\\S)(\\S++)\\s*$', 1)")).alias("left"), F.expr(_WORD.format("regexp_extract(after, r'^\\s*(\\S+)', 1)")).alias("right"))
     words = cut(words)
-    edges = words.select("value", "seed", F.concat_ws(" ", "shape", "left", F.lit("_"), "right").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    named = lambda family, *parts: F.struct(F.lit(family).alias("family"), F.concat_ws(" ", F.lit(family), "shape", *parts).alias("pattern"))
+    families = F.explode(F.array(named("before", "left"), named("after", "right"), named("both", "left", F.lit("_"), "right")))
+    # A pattern of no word at all (the edge of a text) says nothing.
+    edges = words.select("value", "seed", families.alias("f"), "left", "right").where("f.family = 'before' AND left <> '' OR f.family = 'after' AND right <> '' OR f.family = 'both' AND left <> '' AND right <> ''")
+    edges = edges.groupBy("f.family", "f.pattern", "value").agg(F.max("seed").alias("seed"))
     # A value that is a seed anywhere is one everywhere.
-    sure = edges.groupBy("value").agg(F.max("seed").alias("sure"))
-    edges = cut(edges.select("pattern", "value").join(sure, "value"))
-    scored = edges.withColumn("confidence", F.col("sure").cast("double"))
+    sure = words.groupBy("value").agg(F.max("seed").alias("sure"))
+    edges = cut(edges.select("family", "pattern", "value").join(sure.select("value", "sure", (~F.col("sure") & F.expr(_JUDGED)).alias("judged")), "value"))
+    scored, accepted = edges.withColumn("confidence", F.col("sure").cast("double")), 0
+    sound = F.col("confidence") >= accept
     for _ in range(rounds):
-        by_pattern = scored.groupBy("pattern").agg((F.sum("confidence") / (F.count(F.lit(1)) + 1)).alias("c"), F.sum((F.col("confidence") >= accept).cast("int")).alias("k")).where(F.col("k") >= least).select("pattern", "c")
-        doubt = edges.where(~F.col("sure")).join(by_pattern, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(1 - 1e-9)))))).alias("found"))
-        scored = cut(edges.join(doubt, "value", "left").select("pattern", "value", "sure", F.when(F.col("sure"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("confidence")))
-    values = scored.where(~F.col("sure") & (F.col("confidence") >= accept)).select("value").distinct()
+        by_pattern = scored.groupBy("pattern").agg((F.sum("confidence") / (F.count(F.lit(1)) + 1)).alias("c"), F.sum(sound.cast("int")).alias("k")).where((F.col("k") >= least) & (F.col("c") >= 0.5)).select("pattern", "c")
+        doubt = edges.where("NOT sure AND NOT judged").join(by_pattern, "pattern").groupBy("value", "family").agg((1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(1 - 1e-9)))))).alias("found"))
+        doubt = doubt.groupBy("value").agg(F.max("found").alias("found"))
+        scored = cut(edges.join(doubt, "value", "left").select("family", "pattern", "value", "sure", F.when(F.col("sure"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("confidence")))
+        now = scored.where(~F.col("sure") & sound).select(F.count_distinct("value")).head()[0]
+        if now <= accepted:
+            break
+        accepted = now
+    values = scored.where(~F.col("sure") & sound).select("value").distinct()
     return words.where(~F.col("seed")).select("row", "start", "end", "value"), values
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, least: int = 3, accept: float = 0.8) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 8, least: int = 3, accept: float = 0.8) -> DataFrame:
     """row, doc_id, and arrays of spans: email, ip, card, phone, context; one row per row of ``docs``.
 
     Null is the empty text.  Rows that repeat stay, null ids too; an empty table gives an empty one.  Only doc_id and
-    text are read.  ``row`` numbers the rows as ``monotonically_increasing_id`` does for the same input.
+    text are read.  ``row`` numbers the rows as ``monotonically_increasing_id`` does for the same input, which must be
+    one that is read alike each time (a written table), as a stage's is.
     """
     found = cut(base_spans(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "row", "doc_id"))
     candidates, values = discovered(found, rounds, least, accept)
@@ -129,16 +151,23 @@ def digests(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in brackets; where spans overlap, the first stays.
+    """``docs`` with every character of every span of its texts replaced.
 
-    Texts without a span are untouched, null ones included.
+    Spans that overlap or touch within one another are masked together, by the kind of the longest of them (of equal ones
+    the first) in brackets.  Texts without a span are untouched, null ones included; rows that repeat stay.  Other columns
+    stay as they are, whatever their names.  ``docs`` must be read alike each time.
     """
     spans = personal_data(docs)
-    every = F.expr("array_sort(concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))" for k in (*KINDS, "context")) + "))")
-    masks = spans.select(F.col("row").alias("_row"), every.alias("_all")).where("size(_all) > 0")
-    masks = masks.select("_row", F.expr("filter(_all, (s, i) -> NOT exists(slice(_all, 1, i), p -> p.end > s.start))").alias("_mask"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    piece = "substring(text, IF(i = 0, 1, _mask[i - 1].end + 1), s.start - IF(i = 0, 0, _mask[i - 1].end))"
-    masked = F.expr(f"concat(array_join(transform(_mask, (s, i) -> concat({piece}, '[', upper(s.kind), ']')), ''), substring(text, element_at(_mask, -1).end + 1))")
-    joined = numbered.join(masks, "_row", "left")
-    return joined.select(*(F.when(F.col("_mask").isNotNull(), masked).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    every = F.expr("explode(concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))" for k in (*KINDS, "context")) + "))")
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)  # one document's spans
+    flat = spans.select("row", every.alias("s")).select("row", "s.*")
+    runs = flat.withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    union = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct(F.col("start") - F.col("end"), "start", "kind")).alias("kind"))
+    own, mask = (f"{x}_{uuid.uuid4().hex}" for x in ("row", "mask"))
+    masks = union.groupBy(F.col("row").alias(own)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(mask))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    piece = f"substring(text, IF(i = 0, 1, {mask}[i - 1].end + 1), s.start - IF(i = 0, 0, {mask}[i - 1].end))"
+    masked = F.expr(f"concat(array_join(transform({mask}, (s, i) -> concat({piece}, '[', upper(s.kind), ']')), ''), substring(text, element_at({mask}, -1).end + 1))")
+    joined = numbered.join(masks, own, "left")
+    return joined.select(*(F.when(F.col(mask).isNotNull(), masked).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut
+from .common import blocks, bucketed, cut
 from .components import components
 
 THRESHOLD = 3
@@ -250,11 +250,16 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 #: Candidates of the similarity search: distinct shingles of two words, four fingerprints, at most so many bits of 64 apart.
-CANDIDATE_WIDTH, LANES, CANDIDATE_BITS = 2, 4, 14
+CANDIDATE_WIDTH, LANES, CANDIDATE_BITS = 2, 4, 12
+#: And of all four fingerprints' 256 bits: texts at a similarity of 0.8 are 25 bits apart where edits are scattered, 39 where they
+#: are in one place, with a deviation of 6; strangers are 128 apart.
+SKETCH_BITS = 56
 #: Rows of one anchor up to which all their candidate pairs are named.
 CROWD = 32
 #: Rows of one anchor that a worker compares at once.
 SLICE = 4096
+#: Pairs of one row above which it meets its partners in several tasks.
+HUB = 10_000
 #: Rounds in which every row's most promising pair alone is compared, before all that are left.
 ROUNDS = 2
 
@@ -426,6 +431,25 @@ class _Similar:
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
 
+def _compared(chosen: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of the pairs whose sets are similar.  A row of very many pairs meets its partners in several tasks."""
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    ends = chosen.select(F.col("a").alias("row")).unionByName(chosen.select(F.col("b").alias("row")))
+    hubs = cut(ends.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("tasks")).where("tasks > 1"))
+    test = lambda df: df.select("a", "b", "x", "y").mapInArrow(_Similar(similarity), "a long, b long")
+    if hubs.isEmpty():
+        return test(chosen.join(y, "b").join(x, "a"))
+    own = lambda end: hubs.select(F.col("row").alias(end), F.lit(True).alias(f"hub_{end}"))
+    marked = chosen.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    turned = F.col("hub_b").isNotNull() & F.col("hub_a").isNull()
+    marked = cut(marked.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), (F.col("hub_a").isNotNull() | F.col("hub_b").isNotNull()).alias("hub")))
+    tasks = hubs.withColumnRenamed("row", "a")
+    spread = marked.where("hub").join(y, "b").join(tasks, "a").withColumn("task", F.pmod(F.xxhash64("b"), "tasks").cast("int")).drop("tasks")
+    copies = x.join(tasks, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    found = test(marked.where("NOT hub").join(y, "b").join(x, "a")).unionByName(test(spread.join(copies, ["a", "task"])))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _joining(pairs: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``links`` and those of ``pairs`` (a, b, bits) that are similar, but for pairs whose rows are in one group without them.
 
@@ -433,14 +457,11 @@ def _joining(pairs: DataFrame, sets: DataFrame, links: DataFrame, similarity: fl
     comparisons of a crowd of copies are as many as its rows, and only pairs that stay apart are compared one and all.
     """
     both = lambda df: df.select(F.col("a").alias("row"), F.struct("bits", "a", "b").alias("pair")).unionByName(df.select(F.col("b").alias("row"), F.struct("bits", "a", "b").alias("pair")))
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    pairs = cut(pairs)
     for turn in range(ROUNDS + 1):
         if pairs.isEmpty():
             break
         chosen = pairs.select("a", "b") if turn == ROUNDS else cut(both(pairs).groupBy("row").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
-        found = chosen.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_Similar(similarity), "a long, b long")
-        links = cut(links.unionByName(found))
+        links = cut(links.unionByName(_compared(chosen, sets, similarity)))
         if turn == ROUNDS or (rest := cut(pairs.join(chosen, ["a", "b"], "left_anti"))).isEmpty():
             break
         roots = cut(components(links))
@@ -476,8 +497,8 @@ def _crowded_pairs(crowds: DataFrame, sets: DataFrame, links: DataFrame, similar
 def similar_links(docs: DataFrame, row: Column, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """((row, doc_id), links (a, b) that group all rows whose sets of ``words``-word shingles have that Jaccard similarity or more).
 
-    Candidates share an anchor in one of eight half-fingerprints and lie within ``CANDIDATE_BITS`` there; they are compared
-    exactly, on whole texts.  Both rows of a pair go to all anchors within two bits, so halves up to two bits apart are
+    Candidates share an anchor in one of eight half-fingerprints, lie within ``CANDIDATE_BITS`` there and within ``SKETCH_BITS``
+    in all fingerprints together; they are compared exactly, on whole texts.  Both rows of a pair go to all anchors within two bits, so halves up to two bits apart are
     sure to meet (the bit between them has its own anchor within one), and one in six of those three or four bits apart do.
     Fingerprints are of the distinct two-word shingles, which few edits disturb least.  Where an anchor is crowded,
     ``_crowded_pairs`` finds whatever pairs spanning forests leave out, exactly; so among candidates no link is missing
@@ -496,12 +517,17 @@ def similar_links(docs: DataFrame, row: Column, words: int = 5, similarity: floa
     found = at.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_AtAnchors(), "anchor long, a long, b long, bits int")
     found = cut(found.groupBy("anchor", "a", "b").agg(F.min("bits").alias("bits")))
     links = cut(prints.join(distinct.where("copies > 1"), [*lanes, "words"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")))
-    pairs, crowds = found.where("anchor IS NULL").select("a", "b", "bits"), found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("row"))
+    sketches = lambda end, x: distinct.select(F.col("first").alias(end), *(F.col(c).alias(f"{x}{c}") for c in lanes))
+    apart = F.expr(" + ".join(f"bit_count(x{c} ^ y{c})" for c in lanes))
+    pairs = found.where("anchor IS NULL").select("a", "b").join(sketches("a", "x"), "a").join(sketches("b", "y"), "b")
+    pairs = cut(pairs.select("a", "b", apart.cast("int").alias("bits")).where(F.col("bits") <= SKETCH_BITS))
+    crowds = found.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("row"))
     needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(crowds.select("row")).distinct()
-    sets = cut(own.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_Shingles(words), "row long, shingles array<long>"))
+    sets = own.select("row", "text").join(needed, "row", "left_semi").mapInArrow(_Shingles(words), "row long, shingles array<long>")
+    sets = bucketed(sets, "row", "shingles")
     links = _joining(pairs, sets, links, similarity)
     if not crowds.isEmpty() and (others := _crowded_pairs(crowds, sets, links, similarity)) is not None:
-        links = _joining(others, sets, links, similarity)
+        links = _joining(cut(others), sets, links, similarity)
     return prints.select("row", "doc_id"), links
 
 

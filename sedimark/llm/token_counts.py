@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tokenizer_path
+from .common import balanced, tokenizer_path
 
 SPACE = "▁"
 #: Characters of a stretch without a space that are encoded in one call.
 STRETCH = 1 << 16
-#: Words that a worker remembers before it starts afresh.
-MEMO = 500_000
+#: Words that a worker remembers before it starts afresh, and their characters at most; longer ones are counted where they stand.
+MEMO, LONGEST = 500_000, 64
 
 
 class PieceCounter:
@@ -70,8 +70,13 @@ class PieceCounter:
 
     def __call__(self, texts: list[str]) -> list[int]:
         split = [(self.prefix + t.replace(" ", SPACE)).split(SPACE) if t else [] for t in texts]
-        self.learn(set().union(*(words[1:] for words in split)))
-        return [self.total(words) for words in split]
+        words = set().union(*(words[1:] for words in split))
+        self.learn(words)
+        counts = [self.total(words) for words in split]
+        for word in words:
+            if len(word) > LONGEST:
+                del self.words[word]
+        return counts
 
     def total(self, words: list[str]) -> int:
         if not words:
@@ -96,7 +101,7 @@ class _Count:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = PieceCounter(self.path)
-        for batch in blocks(batches, "text"):
+        for batch in balanced(batches, "text"):
             texts = batch.column(1)
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             tokens = pa.array(count(texts.to_pylist()), pa.int64())
