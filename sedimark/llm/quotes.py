@@ -123,9 +123,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     Null texts are empty, null roles ``unknown``, null turns come first; messages whose conv_id is null make one
     conversation, which is before all others.  Messages that repeat stay, in any order among themselves; a reply goes to
     the first of them.  An empty table gives an empty one.  Texts are read whole.  Only conv_id, turn, role and text are
-    read, from an input that must be read alike each time, as a written table is.
+    read.
     """
     own = conversations.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = cut(own)  # the rows keep their numbers whatever the input is
     lines = cut(_lines(own))
     gather = F.expr("array_join(transform(array_sort(collect_list(struct(pos, body))), x -> x.body), '\n')")
     passages = lines.groupBy("row", "conv_id", "turn", "passage", "level").agg(gather.alias("body"), F.expr("array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), '\n')").alias("raw"))
