@@ -65,9 +65,9 @@ def ivf_probe(t: Tables) -> DataFrame:
     return _rounded(vectors.probe(indexed, t.embeddings, "vec_id", "embedding", model, _query(t), 10))
 
 
-_WORDS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^0-9a-z]+'), x -> x <> '' AND length(x) <= 100)"
+_WORDS = "SELECT doc_id, word FROM (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^0-9a-z]+')) AS word FROM {documents}) s WHERE word <> '' AND length(word) <= 100"
 #: The components that aren't zero: (doc_id, slot, x) before the vector is brought to unit length.
-_SLOTS = f"w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM {{documents}}), h AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 256 AS slot, CASE WHEN CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM w), v AS (SELECT doc_id, slot, CAST(sum(s) AS DOUBLE) AS x FROM h GROUP BY doc_id, slot HAVING sum(s) <> 0)"
+_SLOTS = f"w AS ({_WORDS}), h AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 256 AS slot, CASE WHEN CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM w), v AS (SELECT doc_id, slot, CAST(sum(s) AS DOUBLE) AS x FROM h GROUP BY doc_id, slot HAVING sum(s) <> 0)"
 _COMPONENTS = f"WITH {_SLOTS} SELECT doc_id, slot, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM v"
 
 
