@@ -11,7 +11,7 @@ DIMENSION = 256
 
 
 def embed(df: DataFrame, key: str, text: Column, dimension: int = DIMENSION) -> DataFrame:
-    """(key, vector): unit length; the zero vector for text without a word.
+    """(key, vector): unit length; the zero vector for text without a word, and for one whose words take each other away.
 
     A word's slot and sign are digits of its MD5.  Words are counted, then summed by slot, before rows are put together
     again, so a long text is a partial sum a task.
@@ -22,5 +22,5 @@ def embed(df: DataFrame, key: str, text: Column, dimension: int = DIMENSION) ->
     slot, sign = F.pmod(number(1), F.lit(dimension)).cast("int"), F.when(F.pmod(number(9), F.lit(2)) == 0, F.col("n")).otherwise(-F.col("n")).cast("double")
     sums = counted.groupBy(key, F.when(F.col("word").isNotNull(), slot).alias("slot")).agg(F.sum(sign).alias("x"))
     rows = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "x")))).alias("m"), F.sqrt(F.sum(F.when(F.col("slot").isNotNull(), F.col("x") * F.col("x")))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).cast("float"))
     return rows.select(key, dense.alias("vector"))
