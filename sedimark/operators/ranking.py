@@ -19,10 +19,13 @@ def _ties() -> list[Column]:
     return [F.col("file_path"), F.col("git_file_hash"), F.col("line_start")]
 
 
-def best_definition(functions: DataFrame) -> DataFrame:
-    """By name: rows of .c files first, then real bodies that span lines, then with parameters, then the longest body."""
+def best_definition(functions: DataFrame, ties: tuple[str, ...] = ("line_end", "n_params")) -> DataFrame:
+    """By name: rows of .c files first, then real bodies that span lines, then with parameters, then the longest body.
+
+    ``ties`` tell apart rows of one place.
+    """
     real = (F.col("line_end") > F.col("line_start")) & (F.octet_length(body()) > 50)
-    order = [F.col("file_path").endswith(".c").desc(), real.desc(), (F.col("n_params") > 0).desc(), F.octet_length(body()).desc(), *_ties()]
+    order = [F.col("file_path").endswith(".c").desc(), real.desc(), (F.col("n_params") > 0).desc(), F.octet_length(body()).desc(), *_ties(), *ties]
     return top_one(functions, ["name"], order)
 
 

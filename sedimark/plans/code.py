@@ -183,12 +183,7 @@ _REAL = "(line_end > line_start AND strlen(body) > 50)"
 
 @query("o46_best_definition", f"SELECT {_ROW} FROM {{functions}} QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path LIKE '%.c' DESC, {_REAL} DESC, n_params > 0 DESC, strlen(body) DESC, file_path, git_file_hash, line_start, id) = 1")
 def best_definition(t: Tables) -> DataFrame:
-    return _row(ranking.best_definition(_one_a_place(t.functions)))
-
-
-def _one_a_place(functions: DataFrame) -> DataFrame:
-    """Derived rows may share name, place and extent; the smallest id stands for them."""
-    return ranking.top_one(functions, ["name", "file_path", "git_file_hash", "line_start", "line_end", "n_params", "body"], [F.col("id")])
+    return _row(ranking.best_definition(t.functions, ("id",)))
 
 
 @query("o47_best_by_extent", f"SELECT {_ROW} FROM {{functions}} QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path LIKE '%.h', line_end - line_start DESC, file_path, git_file_hash, line_start, id) = 1")
