@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.snip import snip_quotes
 from ..functions.text import address, asctime, decode_base64_body, headers, mail_timestamp
+from ..rows import map_rows
 
 _RAW = "git_commit_sha string, `from` string, date string, message_id string, in_reply_to string, subject string, `references` string, recipients string, body string"
 
@@ -35,21 +33,17 @@ def parse_headers(raw: str) -> tuple[dict[str, str], str]:
     return found, body
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for sha, raw in zip(frame["git_commit_sha"], frame["raw"]):
-            h, body = parse_headers(raw or "")
-            to = ", ".join(h[k] for k in ("to", "cc") if h.get(k))
-            rows.append((sha, h.get("from", ""), h.get("date", ""), h.get("message-id"), h.get("in-reply-to") or None, h.get("subject", ""), h.get("references") or None, to, body))
-        yield pd.DataFrame(rows, columns=["git_commit_sha", "from", "date", "message_id", "in_reply_to", "subject", "references", "recipients", "body"])
+def _parse(sha: str | None, raw: str | None) -> list[tuple]:
+    h, body = parse_headers(raw or "")
+    to = ", ".join(h[k] for k in ("to", "cc") if h.get(k))
+    return [(sha, h.get("from", ""), h.get("date", ""), h.get("message-id"), h.get("in-reply-to") or None, h.get("subject", ""), h.get("references") or None, to, body)]
 
 
 def parse_mails(raw: DataFrame) -> DataFrame:
     """Rows of the lore table from (git_commit_sha, raw); mails without an id are left out.  Symbols come from diffs in bodies."""
     from ..extract.diffs import symbols_of_diff
 
-    mails = raw.select("git_commit_sha", "raw").mapInPandas(_parse, _RAW).where("message_id IS NOT NULL")
+    mails = map_rows(raw.select("git_commit_sha", "raw"), _parse, _RAW).where("message_id IS NOT NULL")
     symbols = F.pandas_udf(lambda s: s.map(lambda b: symbols_of_diff(b or "")), "array<string>")
     return mails.withColumn("date_timestamp", mail_timestamp(F.col("date"))).withColumn("symbols", symbols("body"))
 
