@@ -24,7 +24,8 @@ def caller_index(edges: DataFrame) -> DataFrame:
 
 def entry_points(edges: DataFrame) -> DataFrame:
     """(name): those that call and are never called."""
-    return edges.select(F.col("caller").alias("name")).distinct().join(edges.select(F.col("callee").alias("name")).distinct(), "name", "left_anti")
+    called = edges.select(F.col("callee").alias("name")).distinct()
+    return edges.select(F.col("caller").alias("name")).distinct().join(called.hint("merge"), "name", "left_anti")
 
 
 def callers(functions: DataFrame, name: str) -> DataFrame:
@@ -37,44 +38,64 @@ def callees(best: DataFrame, name: str) -> DataFrame:
     return best.where(F.col("name") == name).select(F.explode("calls").alias("callee")).distinct()
 
 
+#: Rows of a frontier that the driver may hold and send to all tasks.
+FEW = 10_000
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that ``rows`` were counted of: sent to all tasks while they are few, else merged.
+
+    Without this Spark goes by a size it guesses from the source's files, compressed and pruned, and sends large sides through the driver.
+    """
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     forward = edges.select(F.col("caller").alias("a"), F.col("callee").alias("b"))
     backward = edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"))
     return {"forward": forward, "backward": backward, "both": forward.unionByName(backward)}[direction].distinct()
 
 
-def levels(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "forward") -> DataFrame:
-    """(name, level): the least number of calls from a start, up to ``max_depth``; the starts are level 0."""
+def _walk(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str) -> tuple[DataFrame, int]:
+    """``levels`` and how many rows they are."""
     steps = cut(_oriented(edges, direction))
     seen = cut(starts.select("name").distinct().withColumn("level", F.lit(0)))
-    frontier = seen
+    frontier, total = seen, seen.count()
+    new = total
     for depth in range(1, max_depth + 1):
-        reached = steps.join(frontier.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct()
-        new = cut(reached.join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(depth)))
-        if new.isEmpty():
+        reached = steps.join(_near(frontier.select(F.col("name").alias("a")), new), "a").select(F.col("b").alias("name")).distinct()
+        frontier = cut(reached.join(_near(seen.select("name"), total), "name", "left_anti").withColumn("level", F.lit(depth)))
+        new = frontier.count()
+        if not new:
             break
-        seen, frontier = seen.unionByName(new), new
-    return seen
+        seen, total = seen.unionByName(frontier), total + new
+    return seen, total
+
+
+def levels(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "forward") -> DataFrame:
+    """(name, level): the least number of calls from a start, up to ``max_depth``; the starts are level 0."""
+    return _walk(edges, starts, max_depth, direction)[0]
 
 
 def closure(edges: DataFrame, start: DataFrame, max_depth: int, direction: str = "forward") -> DataFrame:
     """(caller, callee): the edges that a walk of ``max_depth`` calls goes along."""
-    reached = levels(edges, start, max_depth, direction).where(F.col("level") < max_depth).select("name")
+    seen, total = _walk(edges, start, max_depth, direction)
+    reached = _near(seen.where(F.col("level") < max_depth).select("name"), total)
+    along = lambda end: edges.join(reached.withColumnRenamed("name", end), end, "left_semi").select("caller", "callee")
     if direction == "forward":
-        return edges.join(reached, edges["caller"] == reached["name"], "left_semi").distinct()
+        return along("caller").distinct()
     if direction == "backward":
-        return edges.join(reached, edges["callee"] == reached["name"], "left_semi").distinct()
-    either = edges.join(reached.withColumnRenamed("name", "caller"), "caller", "left_semi").unionByName(edges.join(reached.withColumnRenamed("name", "callee"), "callee", "left_semi").select("caller", "callee"))
-    return either.distinct()
+        return along("callee").distinct()
+    return along("caller").unionByName(along("callee")).distinct()
 
 
 def tree(edges: DataFrame, start: DataFrame, depth: int, direction: str = "forward") -> DataFrame:
     """(path, name, depth): every path of up to ``depth`` calls from the starts that meets no name twice."""
     steps = cut(_oriented(edges, direction))
-    level = start.select("name").distinct().select(F.array("name").alias("path"), "name", F.lit(0).alias("depth"))
+    level = cut(start.select("name").distinct().select(F.array("name").alias("path"), "name", F.lit(0).alias("depth")))
     out = level
     for d in range(1, depth + 1):
-        level = cut(level.join(steps, F.col("name") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("name"), F.lit(d).alias("depth")))
+        level = cut(steps.join(_near(level, level.count()), F.col("name") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("name"), F.lit(d).alias("depth")))
         out = out.unionByName(level)
     return out
 
@@ -95,18 +116,21 @@ def paths_to(edges: DataFrame, starts: DataFrame, target: str, max_depth: int =
     least is taken at every step.
     """
     target_df = edges.sparkSession.createDataFrame([(target,)], "name string")
-    far = cut(levels(edges, target_df, max_depth, "backward"))
+    far, total = _walk(edges, target_df, max_depth, "backward")
+    far = cut(far)
     w = Window.partitionBy("name").orderBy("next")
-    near = far.select(F.col("name").alias("next"), F.col("level").alias("next_level"))
-    hop = edges.join(far, edges["caller"] == far["name"]).join(near, F.col("callee") == F.col("next")).where(F.col("next_level") == F.col("level") - 1).select("name", "next").withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "next")
-    hop = cut(hop)
-    walk = far.join(starts.select("name"), "name", "left_semi").select(F.col("name").alias("start"), F.array("name").alias("path"), F.col("name").alias("at"))
+    here = far.select(F.col("name").alias("caller"), "level")
+    near = far.select(F.col("name").alias("callee"), F.col("level").alias("next_level"))
+    hop = edges.join(_near(here, total), "caller").join(_near(near, total), "callee").where(F.col("next_level") == F.col("level") - 1)
+    hop = cut(hop.select(F.col("caller").alias("name"), F.col("callee").alias("next")).withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "next"))
+    walk = cut(far.join(starts.select("name").hint("merge"), "name", "left_semi").select(F.col("name").alias("start"), F.array("name").alias("path"), F.col("name").alias("at")))
     done = walk.where(F.col("at") == target)
     walk = walk.where(F.col("at") != target)
     for _ in range(max_depth):
-        walk = cut(walk.join(hop, F.col("at") == F.col("name")).select("start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at")))
-        if walk.isEmpty():
+        rows = walk.count()
+        if not rows:
             break
+        walk = cut(hop.join(_near(walk, rows), F.col("at") == F.col("name")).select("start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("at")))
         done = done.unionByName(walk.where(F.col("at") == target))
         walk = walk.where(F.col("at") != target)
     return done.select("start", "path")
