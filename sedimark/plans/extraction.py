@@ -16,7 +16,7 @@ from .base import Tables, query
 def _sources(t: Tables) -> DataFrame:
     """A C file for every twenty parts: a struct, a macro, and functions that call each other by the derived edges."""
     callees = t.edges.groupBy(F.col("caller").cast("bigint").alias("id")).agg(F.array_sort(F.collect_set("callee")).alias("callees"))
-    rows = t.part.select(F.col("p_partkey").alias("id"), "p_name", "p_size").join(callees, "id", "left")
+    rows = t.part.select(F.col("p_partkey").alias("id"), "p_name", "p_size").join(callees.hint("merge"), "id", "left")
     calls = F.concat_ws("", F.transform(F.coalesce("callees", F.array()), lambda c: F.concat(F.lit("\tp"), c, F.lit("(s); /* p0(s) */\n"))))
     function = F.concat(F.lit("/* "), "p_name", F.lit(" */\nstatic int p"), F.col("id").cast("string"), F.lit("(struct part *s, unsigned int n)\n{\n"), calls, F.lit('\treturn "p1(";\n}\n'))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", function.alias("f")))), lambda x: x["f"]), "\n")
