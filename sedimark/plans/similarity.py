@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.embedding import embed
+from ..functions.embedding import components, dense, embed
 from ..operators import storage, vectors
 from .base import Tables, query
 
@@ -72,18 +72,18 @@ _COMPONENTS = f"WITH {_SLOTS} SELECT doc_id, slot, round(CAST(CAST(x / sqrt(sum(
 
 
 def _components(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.posexplode("vector").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+    return df.select("doc_id", F.inline("entries")).select("doc_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("o82_embed", _COMPONENTS)
 def embed_texts(t: Tables) -> DataFrame:
-    return _components(embed(t.documents, "doc_id", F.col("text")))
+    return _components(components(t.documents, "doc_id", F.col("text")))
 
 
 @query("o83_backfill", _COMPONENTS + " WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
 def backfill(t: Tables) -> DataFrame:
     have = t.labels.select("doc_id")
-    return _components(embed(storage.missing_keys(t.documents.select("doc_id", "text"), have, ["doc_id"]), "doc_id", F.col("text")))
+    return _components(components(storage.missing_keys(t.documents.select("doc_id", "text"), have, ["doc_id"]), "doc_id", F.col("text")))
 
 
 @query(
@@ -94,7 +94,7 @@ def knn_by_name(t: Tables) -> DataFrame:
     spark = t.spark
     name = spark.createDataFrame([(0, "void the() {}")], "k int, text string")
     vector = embed(name, "k", F.col("text")).first()["vector"]
-    store = embed(t.documents, "doc_id", F.col("text")).where(F.exists("vector", lambda x: x != 0))
+    store = dense(components(t.documents, "doc_id", F.col("text")).where(F.size("entries") > 0), "doc_id")
     return vectors.top_k(store, "doc_id", "vector", vector, 10, digits=5)
 
 
