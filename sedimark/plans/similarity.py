@@ -82,7 +82,8 @@ def embed_texts(t: Tables) -> DataFrame:
 
 @query("o83_backfill", _COMPONENTS + " WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
 def backfill(t: Tables) -> DataFrame:
-    have = t.labels.select("doc_id")
+    # Merged at any size, so that disk follows the input: the embedding needs texts by key anyway, and takes them from the join.
+    have = t.labels.select("doc_id").hint("merge")
     return _components(components(storage.missing_keys(t.documents.select("doc_id", "text"), have, ["doc_id"]), "doc_id", F.col("text")))
 
 
